@@ -1,2 +1,66 @@
+"""From raw documents to a training mix, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+keep the columns of ``documents``.  ``run`` writes every stage's result to the
+shared folder and reads it again, so that no stage is computed twice and a lost
+executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import decontaminate as bench
+from textloom.llm import line_dedup, mixing, simhash
+from textloom.llm import toxicity as tox
+from textloom.llm.common import stored, table
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of rewritten texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return tox.drop_toxic(docs, tox.train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A line that several documents have stays in the smallest doc_id."""
+    return _recounted(line_dedup.dedup_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    return _recounted(bench.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chosen documents with the number of passes that hold them."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
+
+#: A trained classifier and XXH64 fingerprints are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -244,6 +244,20 @@ def _cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+def _cleaned(text: bytes | None, automata: list[ItemAutomaton], max_share: float) -> tuple[bytes | None, bool]:
+    """Cut until nothing is hit (what a cut brings together may be hit again); whether the document stays."""
+    first = None
+    while True:
+        ws = words(text)
+        spans = _merge([s for a in automata if a.items for s in a.scan(ws)[0]])
+        n = sum(e - s for s, e in spans)
+        if first is None:
+            first = n > max_share * len(ws)
+        if not n or first:
+            return text, not first
+        text = _cut(text, spans)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, most: int = MAX_ITEM_WORDS) -> DataFrame:
     """``docs`` with hit spans cut out of their texts; documents of which more
     than ``max_share`` of the words are hit go.  All columns are kept."""
@@ -256,11 +270,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         for b in batches:
             texts, keep = [], []
             for text in b.column("text").to_pylist():
-                ws = words(text)
-                spans = _merge([s for a in automata if a.items for s in a.scan(ws)[0]])
-                n = sum(e - s for s, e in spans)
-                keep.append(n <= max_share * len(ws))
-                texts.append(_cut(text, spans) if n and keep[-1] else text)
+                clean, kept = _cleaned(text, automata, max_share)
+                texts.append(clean)
+                keep.append(kept)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b.column("rest")], ["text", "rest"]).filter(mask)
 
