@@ -2,9 +2,14 @@
 
 Seven rules look at counts of a text and vote good (1) or bad (-1) or abstain
 (0).  Expectation-maximisation over the distinct vote patterns of the whole
-table (at most 3^7 rows, whatever the table's size) estimates each rule's
-accuracy and the share of good documents; a document's posterior probability
-decides.  Base limits of the contract come first.
+table (at most 3^7 rows, whatever the table's size) estimates the share of good
+documents and the rules' accuracies; a document's posterior probability decides.
+Base limits of the contract come first.
+
+Bad documents are of kinds, one for each rule: a document of a kind offends
+against its rule (accuracy ``bad``) and otherwise votes like a good one, on which
+rules have the accuracy ``good``.  With a single kind of bad document EM finds the
+most frequent offence only and takes documents with another for good ones.
 
 The counts cost one pass over the texts and no shuffle; they are stored, and
 patterns and verdicts are taken from the stored numbers.
@@ -17,16 +22,16 @@ gives no rows.  Counts are over whole texts; repeated windows are told apart by
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import stored, table
 
-ROUNDS = 10
-START_PRIOR, START_ACCURACY = 0.8, 0.8
-LOW, HIGH = 0.55, 0.99
+ROUNDS = 20
+#: Where EM starts: share of good documents (the rest in equal kinds), accuracies on good and on bad ones.
+START_PRIOR, START_GOOD, START_BAD = 0.8, 0.99, 0.9
+#: Bounds of the accuracies and of a kind's share.
+GOOD_RANGE, BAD_RANGE, LEAST_SHARE = (0.9, 0.999), (0.7, 0.99), 0.0005
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -88,33 +93,47 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def accuracies(votes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row: prior, accuracy (an array in the order of RULES), by EM over vote patterns."""
+    """One row: prior, share, good, bad (the last three in the order of RULES), by EM over vote patterns."""
     k = len(RULES)
     patterns = votes.groupBy(*_VOTES).agg(F.count(F.lit(1)).cast("double").alias("n"))
     whole = patterns.agg(F.sort_array(F.collect_list(F.struct(F.array(*(F.col(v).cast("double") for v in _VOTES)).alias("v"), F.col("n")))).alias("p"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    clamp = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+    def clamp(x: Column, limits: tuple[float, float]) -> Column:
+        return F.greatest(F.lit(limits[0]), F.least(F.lit(limits[1]), x))
 
     def step(s: Column, p: Column) -> Column:
-        odds = lambda a: F.ln(a / (1 - a))
-        score = lambda x: odds(s["prior"]) + total(F.zip_with(x["v"], s["accuracy"], lambda v, a: v * odds(a)))
-        scored = F.transform(p, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), (1 / (1 + F.exp(-score(x)))).alias("q")))
+        def kind(v: Column, j: Column) -> Column:
+            """Likelihood of kind j over that of a good document."""
+            g, b = F.get(s["good"], j), F.get(s["bad"], j)
+            return F.get(s["share"], j) / s["prior"] * F.when(v > 0, (1 - b) / g).when(v < 0, b / (1 - g)).otherwise(F.lit(1.0))
 
-        def update(r: Column) -> Column:
-            def accuracy(j: int) -> Column:
-                cast = F.filter(r, lambda x: x["v"][j] != 0)
-                right = total(F.transform(cast, lambda x: x["n"] * F.when(x["v"][j] > 0, x["q"]).otherwise(1 - x["q"])))
-                n = total(F.transform(cast, lambda x: x["n"]))
-                return F.when(n > 0, clamp(right / n, LOW, HIGH)).otherwise(F.lit(START_ACCURACY))
+        rated = F.transform(p, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), F.transform(x["v"], kind).alias("t")))
+        # q: good; t: of each kind
+        rated = F.transform(rated, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), x["t"].alias("t"), (1 / (1 + total(x["t"]))).alias("q")))
+        rated = F.transform(rated, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), F.transform(x["t"], lambda t: t * x["q"]).alias("t"), x["q"].alias("q")))
 
-            acc = [accuracy(j) for j in range(k)]
+        def update(r: Column) -> Column:
             n = total(F.transform(r, lambda x: x["n"]))
-            prior = F.when(n > 0, clamp(total(F.transform(r, lambda x: x["n"] * x["q"])) / n, 0.01, 0.99)).otherwise(F.lit(START_PRIOR))
-            return F.struct(prior.alias("prior"), F.array(*acc).alias("accuracy"))
 
-        return F.get(F.transform(F.array(scored), update), F.lit(0))
+            def accuracy(j: int, sign: int) -> Column:
+                mass = lambda x: x["n"] * (1 - x["t"][j] if sign > 0 else x["t"][j])
+                cast = total(F.transform(r, lambda x: F.when(x["v"][j] != 0, mass(x)).otherwise(F.lit(0.0))))
+                right = total(F.transform(r, lambda x: F.when(x["v"][j] == sign, mass(x)).otherwise(F.lit(0.0))))
+                start, limits = (START_GOOD, GOOD_RANGE) if sign > 0 else (START_BAD, BAD_RANGE)
+                return F.when(cast > 0, clamp(right / cast, limits)).otherwise(F.lit(start))
+
+            def share(j: int) -> Column:
+                return F.when(n > 0, F.greatest(F.lit(LEAST_SHARE), total(F.transform(r, lambda x: x["n"] * x["t"][j])) / n)).otherwise(F.lit((1 - START_PRIOR) / k))
 
-    begin = F.struct(F.lit(START_PRIOR).alias("prior"), F.array(*[F.lit(START_ACCURACY)] * k).alias("accuracy"))
+            prior = F.when(n > 0, clamp(total(F.transform(r, lambda x: x["n"] * x["q"])) / n, (0.01, 0.99))).otherwise(F.lit(START_PRIOR))
+            each = range(k)
+            return F.struct(prior.alias("prior"), F.array(*(share(j) for j in each)).alias("share"), F.array(*(accuracy(j, 1) for j in each)).alias("good"), F.array(*(accuracy(j, -1) for j in each)).alias("bad"))
+
+        return F.get(F.transform(F.array(rated), update), F.lit(0))
+
+    same = lambda x: F.array(*[F.lit(x)] * k)
+    begin = F.struct(F.lit(START_PRIOR).alias("prior"), same((1 - START_PRIOR) / k).alias("share"), same(START_GOOD).alias("good"), same(START_BAD).alias("bad"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda s, _: step(s, F.col("p")))
     return whole.select(end.alias("m")).select("m.*")
 
@@ -123,12 +142,11 @@ def judged(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, counts, votes, base_failed, quality (posterior), kept."""
     numbers = stored(counts(docs), "quality")
     votes = numbers.select("*", *(F.expr(_vote(r)).alias(f"v_{r}") for r in RULES), F.expr(BASE_FAILED).alias("base_failed"))
-    m = accuracies(votes, rounds).first()  # eight numbers
-    odds = lambda a: math.log(a / (1 - a))
-    logit = F.lit(odds(m.prior))
-    for v, a in zip(_VOTES, m.accuracy, strict=True):
-        logit = logit + F.col(v) * odds(a)
-    quality = 1 / (1 + F.exp(-logit))
+    m = accuracies(votes, rounds).first()  # 22 numbers
+    against = F.lit(0.0)
+    for v, p, g, b in zip(_VOTES, m.share, m.good, m.bad, strict=True):
+        against = against + F.when(F.col(v) > 0, p / m.prior * ((1 - b) / g)).when(F.col(v) < 0, p / m.prior * (b / (1 - g))).otherwise(p / m.prior)
+    quality = 1 / (1 + against)
     return votes.select("*", quality.alias("quality"), (~F.col("base_failed") & (quality >= 0.5)).alias("kept"))
 
 
@@ -145,13 +163,20 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    steps = [f"m0 AS (SELECT CAST({START_PRIOR} AS DOUBLE) AS prior, " + ", ".join(f"CAST({START_ACCURACY} AS DOUBLE) AS a_{r}" for r in RULES) + ")"]
+    k = len(RULES)
+    kind = {r: f"p_{r} / prior * CASE WHEN v_{r} > 0 THEN (1 - b_{r}) / g_{r} WHEN v_{r} < 0 THEN b_{r} / (1 - g_{r}) ELSE 1 END" for r in RULES}
+    steps = [f"m0 AS (SELECT CAST({START_PRIOR} AS DOUBLE) AS prior, " + ", ".join(f"CAST({(1 - START_PRIOR) / k} AS DOUBLE) AS p_{r}, CAST({START_GOOD} AS DOUBLE) AS g_{r}, CAST({START_BAD} AS DOUBLE) AS b_{r}" for r in RULES) + ")"]
+
+    def accuracy(name: str, rule: str, sign: int, mass: str, start: float, limits: tuple[float, float]) -> str:
+        cast = f"sum(CASE WHEN v_{rule} <> 0 THEN {mass} ELSE 0 END)"
+        return f"CASE WHEN {cast} > 0 THEN greatest({limits[0]}, least({limits[1]}, sum(CASE WHEN v_{rule} = {sign} THEN {mass} ELSE 0 END) / {cast})) ELSE {start} END AS {name}_{rule}"
+
     for i in range(ROUNDS):
-        logit = "ln(prior / (1 - prior)) + " + " + ".join(f"v_{r} * ln(a_{r} / (1 - a_{r}))" for r in RULES)
-        acc = ", ".join(f"coalesce(greatest({LOW}, least({HIGH}, sum(n * CASE WHEN v_{r} > 0 THEN q ELSE 1 - q END) FILTER (WHERE v_{r} <> 0) / sum(n) FILTER (WHERE v_{r} <> 0))), {START_ACCURACY}) AS a_{r}" for r in RULES)
-        steps.append(f"q{i} AS (SELECT p.*, 1 / (1 + exp(-({logit}))) AS q FROM patterns p, m{i})")
-        steps.append(f"m{i + 1} AS (SELECT greatest(0.01, least(0.99, sum(n * q) / sum(n))) AS prior, {acc} FROM q{i})")
-    logit = "ln(prior / (1 - prior)) + " + " + ".join(f"v_{r} * ln(a_{r} / (1 - a_{r}))" for r in RULES)
+        q = f"1 / (1 + {' + '.join(f't_{r}' for r in RULES)})"
+        new = ", ".join(f"greatest({LEAST_SHARE}, sum(n * t_{r} * q) / sum(n)) AS p_{r}, {accuracy('g', r, 1, f'n * (1 - t_{r} * q)', START_GOOD, GOOD_RANGE)}, {accuracy('b', r, -1, f'n * t_{r} * q', START_BAD, BAD_RANGE)}" for r in RULES)
+        steps.append(f"t{i} AS (SELECT p.*, {', '.join(f'{kind[r]} AS t_{r}' for r in RULES)} FROM patterns p, m{i})")
+        steps.append(f"q{i} AS MATERIALIZED (SELECT *, {q} AS q FROM t{i})")
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT greatest(0.01, least(0.99, sum(n * q) / sum(n))) AS prior, {new} FROM q{i})")
     return rf"""
 WITH one AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -168,9 +193,9 @@ num AS (
          length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts
   FROM one LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)),
 votes AS (SELECT *, {", ".join(f"{_vote(r)} AS v_{r}" for r in RULES)}, {BASE_FAILED} AS base_failed FROM num),
-patterns AS (SELECT {", ".join(_VOTES)}, CAST(count(*) AS DOUBLE) AS n FROM votes GROUP BY ALL),
+patterns AS MATERIALIZED (SELECT {", ".join(_VOTES)}, CAST(count(*) AS DOUBLE) AS n FROM votes GROUP BY ALL),
 {", ".join(steps)},
-fin AS (SELECT votes.*, 1 / (1 + exp(-({logit}))) AS q FROM votes, m{ROUNDS})
+fin AS (SELECT votes.*, 1 / (1 + {' + '.join(kind.values())}) AS q FROM votes, m{ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept, round(q, 6) AS quality FROM fin
 """
 
