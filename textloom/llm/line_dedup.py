@@ -168,7 +168,6 @@ class LineDedupStore:
         bounded_batches(spark)
         #: n_shards and the current generation's folders.
         self.meta: dict = {"n_shards": 0, "refs": [], "filters": None}
-        self._file = None
 
     # -- the small description of the current generation --------------------
     def _hadoop(self):
@@ -230,14 +229,11 @@ class LineDedupStore:
             probed = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_probe, "k1 long, k2 long, shard long, maybe boolean")
             maybe = probed.filter("maybe").drop("maybe")
             new = probed.filter("NOT maybe").drop("maybe").unionByName(maybe.join(old, ["k1", "k2"], "left_anti"))
-            every = self._sharded(old.select("k1", "k2")).groupBy("shard").agg(F.count(F.lit(1)).alias("was"))
             grown = new.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_grow, "shard long, n_keys long, bits binary, full boolean")
-            tmp = self._new("grown")
-            grown.write.parquet(tmp)
-            grown = self.spark.read.parquet(tmp)
+            grown.write.parquet(tried := self._new("grown"))
+            grown = self.spark.read.parquet(tried)
             full = grown.filter("full").select("shard")
             rebuilt = self._sharded(old.select("k1", "k2").unionByName(fresh.select("k1", "k2")).distinct()).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_built, FILTER_SCHEMA)
-            del every
             grown.filter("NOT full").drop("full").unionByName(rebuilt).write.parquet(filters)
         self.meta["refs"] = [*self.meta["refs"], path]
         self.meta["filters"] = filters
