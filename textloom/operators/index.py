@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import search
@@ -45,30 +47,55 @@ def chunks(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFrame:
     return rows.select("file_id", (F.col("core_begin") / o.chunk_bytes).cast("bigint").alias("chunk_no"), "core_begin", end.alias("core_end"), F.least(end + o.overlap, F.col("n")).alias("ext_end"))
 
 
-def _chunk_bytes(corpus: DataFrame, o: IndexOptions) -> DataFrame:
-    """The bytes each chunk sees, one row a chunk."""
-    n = F.octet_length("b")
-    rows = _binary(corpus).select("file_id", "b", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(o.chunk_bytes))).alias("at"))
-    return rows.select("file_id", (F.col("at") / o.chunk_bytes).cast("bigint").alias("chunk_no"), F.substring(F.col("b"), F.col("at") + 1, F.lit(o.chunk_bytes + o.overlap)).alias("b"))
+def _grams_of(data: bytes) -> np.ndarray:
+    """The four-byte strings at all positions, as big-endian numbers."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint32)
+    return a[:-3] << 24 | a[1:-2] << 16 | a[2:-1] << 8 | a[3:] if len(a) >= Q else a[:0]
 
 
-def _grams(b: Column) -> Column:
-    """All four-byte strings of a byte string, as binary."""
-    return F.when(F.octet_length(b) >= Q, F.transform(F.sequence(F.lit(1), F.octet_length(b) - (Q - 1)), lambda i: F.substring(b, i, F.lit(Q)))).otherwise(F.array().cast("array<binary>"))
+def _as_binary(grams: np.ndarray) -> pa.Array:
+    flat = grams.astype(">u4").tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(Q), len(grams), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _extracted(o: IndexOptions, blocks: bool):
+    """Distinct strings of each chunk (or block), found where the text is: no shuffle."""
+
+    def run(batches):
+        for b in batches:
+            for file_id, data in zip(b.column("file_id").to_pylist(), b.column("b").to_pylist(), strict=True):
+                for no, at in enumerate(range(0, max(len(data), 1), o.chunk_bytes)):
+                    seen = data[at : at + o.chunk_bytes + o.overlap]
+                    parts = [(k // o.block_bytes, seen[k : k + o.block_bytes + LOOKAHEAD]) for k in range(0, max(len(seen), 1), o.block_bytes)] if blocks else [(0, seen)]
+                    for block, part in parts:
+                        g = _grams_of(part)
+                        u, n = np.unique(g, return_counts=True)
+                        if not len(u):
+                            continue
+                        cols = [_as_binary(u), pa.array(np.full(len(u), file_id, np.int64)), pa.array(np.full(len(u), no, np.int64))]
+                        if blocks:
+                            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(u), block, np.int64))], ["gram", "file_id", "chunk_no", "block_no"])
+                        else:
+                            core = np.zeros(len(u), np.int64)
+                            cu, cn = np.unique(g[: o.chunk_bytes], return_counts=True)
+                            core[np.searchsorted(u, cu)] = cn
+                            yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), pa.array(core)], ["gram", "file_id", "chunk_no", "n", "n_core"])
+
+    return run
+
+
+def _postings(corpus: DataFrame, o: IndexOptions) -> DataFrame:
+    return _binary(corpus).mapInArrow(_extracted(o, False), "gram binary, file_id long, chunk_no long, n long, n_core long")
 
 
 def postings(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFrame:
-    """gram, file_id, chunk_no, n (occurrences): distinct strings of each chunk, made within its row."""
-    rows = _chunk_bytes(corpus, o).select("file_id", "chunk_no", F.explode(_grams(F.col("b"))).alias("gram"))
-    return rows.groupBy("gram", "file_id", "chunk_no").agg(F.count(F.lit(1)).alias("n"))
+    """gram, file_id, chunk_no, n (occurrences)."""
+    return _postings(corpus, o).drop("n_core")
 
 
 def block_postings(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFrame:
     """gram, file_id, chunk_no, block_no: blocks that see the string within LOOKAHEAD bytes past their end."""
-    b = F.col("b")
-    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(b) - 1, F.lit(0)), F.lit(o.block_bytes))
-    blocks = _chunk_bytes(corpus, o).select("file_id", "chunk_no", F.posexplode(F.transform(starts, lambda s: F.substring(b, s + 1, F.lit(o.block_bytes + LOOKAHEAD)))).alias("block_no", "v"))
-    return blocks.select("file_id", "chunk_no", F.col("block_no").cast("bigint").alias("block_no"), F.explode(F.array_distinct(_grams(F.col("v")))).alias("gram")).select("gram", "file_id", "chunk_no", "block_no")
+    return _binary(corpus).mapInArrow(_extracted(o, True), "gram binary, file_id long, chunk_no long, block_no long")
 
 
 def qgram_stats(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFrame:
@@ -76,18 +103,23 @@ def qgram_stats(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFram
 
     Files first, then all files: partial sums, no distinct counts.
     """
-    rows = _chunk_bytes(corpus, o).select("file_id", F.posexplode(_grams(F.col("b"))).alias("i", "gram"), "chunk_no")
-    per_chunk = rows.groupBy("gram", "file_id", "chunk_no").agg(F.sum((F.col("i") < o.chunk_bytes).cast("bigint")).alias("n"))
-    per_file = per_chunk.groupBy("gram", "file_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    rows = _postings(corpus, o)
+    per_file = rows.groupBy("gram", "file_id").agg(F.sum("n_core").alias("n"), F.count(F.lit(1)).alias("c"))
     return per_file.groupBy("gram").agg(F.sum("n").alias("occurrence_frequency"), F.sum("c").alias("chunk_frequency"), F.count(F.lit(1)).alias("document_frequency"))
 
 
 def byte_histogram(corpus: DataFrame) -> DataFrame:
-    """byte, n over all texts.  A text's own counts are 256 numbers; only these are summed."""
-    hexed = F.hex(F.col("text").cast("binary"))
-    codes = F.array_remove(F.split(F.regexp_replace(hexed, "(..)", "$1 "), " "), "")
-    rows = corpus.select(F.explode(codes).alias("h"))
-    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).select(F.conv("h", 16, 10).cast("bigint").alias("byte"), "n")
+    """byte, n over all texts: 256 sums a task."""
+
+    def run(batches):
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            for data in b.column("b").to_pylist():
+                total += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["byte", "n"])
+
+    return _binary(corpus).mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 BUCKETS = 1 << 16
