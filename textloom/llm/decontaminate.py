@@ -11,9 +11,9 @@ hence looking up every (L - 2)-th triple of the document misses no occurrence.
 From an anchor the automaton runs from L words before it to where the match
 falls below three words again.
 
-The benchmark is broadcast, after a check of its size: its words must not
-exceed ``MAX_ITEM_WORDS``, else ``decontaminate`` splits it into groups of items
-of that size and combines the groups' hits.
+The benchmark is read in groups of items of at most ``MAX_ITEM_WORDS`` words.  One
+group is broadcast at a time; with several, documents pass once a group, carrying
+their hits, and each pass is written, so no worker holds more than one automaton.
 
 Defined cases: null text, and null items, have no words; an item without words
 is no window.  Repeated item_ids and items are allowed; an item_id counts once.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, table, text_bytes
+from textloom.llm.common import bounded_batches, stored, table
 
 WINDOW = 10
 #: Words in items that one automaton takes: about 200 MB in each Python worker.
@@ -165,31 +165,31 @@ class ItemAutomaton:
         return len(ws)
 
 
-def _groups(benchmark: DataFrame, most: int) -> list[list[tuple[object, list[bytes]]]]:
-    """Items in groups of at most ``most`` words (or one item)."""
-    groups: list[list] = [[]]
+def _groups(benchmark: DataFrame, most: int) -> Iterator[tuple[list[tuple[object, list[bytes]]], bool]]:
+    """Items in groups of at most ``most`` words (or one item), and whether the group is the last; one at a time."""
+    group: list[tuple[object, list[bytes]]] = []
     size = 0
     for i, t in benchmark.select("item_id", F.col("text").cast("binary")).distinct().toLocalIterator():
         ws = words(bytes(t) if t is not None else None)
         if not ws:
             continue
-        if groups[-1] and size + len(ws) > most:
-            groups.append([])
-            size = 0
-        groups[-1].append((i, ws))
+        if group and size + len(ws) > most:
+            yield group, False
+            group, size = [], 0
+        group.append((i, ws))
         size += len(ws)
-    return groups
+    yield group, True
 
 
-_BUILT: dict[bytes, list[ItemAutomaton]] = {}
+_BUILT: dict[bytes, ItemAutomaton] = {}
 
 
-def _automata(raw: list[list[tuple[object, list[bytes]]]], window: int) -> list[ItemAutomaton]:
+def _automaton(items: list[tuple[object, list[bytes]]], window: int) -> ItemAutomaton:
     """Built once a worker."""
-    key = hashlib.sha256(repr((raw, window)).encode()).digest()
+    key = hashlib.sha256(repr((items, window)).encode()).digest()
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = [ItemAutomaton(g, window) for g in raw]
+        _BUILT[key] = ItemAutomaton(items, window)
     return _BUILT[key]
 
 
@@ -203,32 +203,48 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_HITS = "n_words long, starts array<long>, ends array<long>, item_ids array<string>"
+
+
+def _marked(rows: DataFrame, benchmark: DataFrame, window: int, most: int, keep_text: bool) -> DataFrame:
+    """``rows`` (text as binary, rest: any struct) with n_words, hit ranges and item_ids; text only on request."""
+    spark = rows.sparkSession
+    rest = rows.schema["rest"].dataType.simpleString()
+    seen = False
+    for items, last in _groups(benchmark, most):
+        shared, carry, more = spark.sparkContext.broadcast(items), seen, keep_text or not last
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, carry=carry, more=more) -> Iterator[pa.RecordBatch]:
+            a = _automaton(shared.value, window)
+            longs, names = pa.list_(pa.int64()), pa.list_(pa.string())
+            for b in batches:
+                n, starts, ends, ids = [], [], [], []
+                before = zip(*(b.column(c).to_pylist() for c in ("starts", "ends", "item_ids")), strict=True) if carry else iter(lambda: ([], [], []), None)
+                for text, (s, e, i) in zip(b.column("text").to_pylist(), before, strict=False):
+                    ws = words(text)
+                    spans, found = a.scan(ws) if a.items else ([], set())
+                    if s:
+                        spans = _merge([*zip(s, e, strict=True), *spans])
+                    n.append(len(ws))
+                    starts.append([x for x, _ in spans])
+                    ends.append([x for _, x in spans])
+                    ids.append(sorted({str(a.items[k][0]) for k in found if a.items[k][0] is not None} | set(i)))
+                cols = [pa.array(n, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(ids, names)]
+                head = [b.column("rest"), b.column("text")] if more else [b.column("rest")]
+                yield pa.RecordBatch.from_arrays([*head, *cols], ["rest", *(["text"] if more else []), "n_words", "starts", "ends", "item_ids"])
+
+        rows = rows.mapInArrow(run, f"rest {rest}, {'text binary, ' if more else ''}{_HITS}")
+        if not last:
+            rows = stored(rows, "hits")
+        seen = True
+    return rows
+
+
 def hit_ranges(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MAX_ITEM_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, hit word ranges ``[start, end)`` and the item_ids (as sorted strings)."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(_groups(benchmark, most))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(shared.value, window)
-        for b in batches:
-            n, starts, ends, ids = [], [], [], []
-            for text in b.column("text").to_pylist():
-                ws = words(text)
-                spans, own = [], set()
-                for a in automata:
-                    if a.items:
-                        s, f = a.scan(ws)
-                        spans += s
-                        own |= {str(a.items[k][0]) for k in f if a.items[k][0] is not None}
-                if len(automata) > 1:
-                    spans = _merge(spans)
-                n.append(len(ws))
-                starts.append([x for x, _ in spans])
-                ends.append([x for _, x in spans])
-                ids.append(sorted(own))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "n_words", "starts", "ends", "item_ids"])
-
-    return text_bytes(docs).mapInArrow(run, "doc_id long, n_words long, starts array<long>, ends array<long>, item_ids array<string>")
+    rows = docs.select(F.struct("doc_id").alias("rest"), F.col("text").cast("binary").alias("text"))
+    return _marked(rows, benchmark, window, most, False).select("rest.doc_id", "n_words", "starts", "ends", "item_ids")
 
 
 def _cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
@@ -244,40 +260,38 @@ def _cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _cleaned(text: bytes | None, automata: list[ItemAutomaton], max_share: float) -> tuple[bytes | None, bool]:
-    """Cut until nothing is hit (what a cut brings together may be hit again); whether the document stays."""
-    first = None
-    while True:
-        ws = words(text)
-        spans = _merge([s for a in automata if a.items for s in a.scan(ws)[0]])
-        n = sum(e - s for s, e in spans)
-        if first is None:
-            first = n > max_share * len(ws)
-        if not n or first:
-            return text, not first
-        text = _cut(text, spans)
+def _without_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [_cut(t, list(zip(s, e, strict=True))) if s else t for t, s, e in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.binary())], ["rest", "text"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, most: int = MAX_ITEM_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, most: int = MAX_ITEM_WORDS, rounds: int = 20) -> DataFrame:
     """``docs`` with hit spans cut out of their texts; documents of which more
-    than ``max_share`` of the words are hit go.  All columns are kept."""
+    than ``max_share`` of the words are hit go.  All columns are kept.
+
+    What a cut brings together may be a window again, so the few documents that
+    were cut are looked at again until nothing is hit.
+    """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(_groups(benchmark, most))
-    packed = docs.select(F.col("text").cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(shared.value, window)
-        for b in batches:
-            texts, keep = [], []
-            for text in b.column("text").to_pylist():
-                clean, kept = _cleaned(text, automata, max_share)
-                texts.append(clean)
-                keep.append(kept)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b.column("rest")], ["text", "rest"]).filter(mask)
-
-    out = packed.mapInArrow(run, f"text binary, rest {packed.schema['rest'].dataType.simpleString()}")
-    return out.select(*(F.col("text").cast("string").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    names = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("rest"), F.col("text").cast("binary").alias("text"))
+    schema = f"rest {packed.schema['rest'].dataType.simpleString()}, text binary"
+    n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    done, todo, first = None, packed, True
+    for _ in range(rounds):
+        marked = stored(_marked(todo, benchmark, window, most, True), "marked")
+        clean = marked.filter(F.size("starts") == 0).select("rest", "text")
+        done = clean if done is None else done.unionByName(clean)
+        hit = marked.filter(F.size("starts") > 0)
+        if first:
+            hit = hit.filter(n_hit <= max_share * F.col("n_words"))
+        if hit.isEmpty():
+            break
+        todo, first = stored(hit.mapInArrow(_without_hits, schema), "cut"), False
+    else:
+        raise RuntimeError("cutting didn't settle")
+    return done.select(*(F.col("text").cast("string").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
