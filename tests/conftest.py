@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")

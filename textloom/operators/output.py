@@ -76,7 +76,7 @@ def standard(corpus: DataFrame, r: Request, number: bool = True, trim: bool = Fa
 def json_events(corpus: DataFrame, r: Request) -> DataFrame:
     """file_id, part, line_no, event: begin, match (with submatches) and end of each file with matches; order by the first three."""
     some = search._candidates(corpus, list(r.patterns)) if not r.invert else corpus
-    df = search.selected(some, r).withColumn("lines", F.filter("lines", lambda x: x["sel"])).filter(F.size("lines") > 0)
+    df = search.selected(some, r).withColumn("lines", F.filter("lines", lambda x: x["sel"]))
     path = F.struct(F.col("path").alias("text"))
     rec = [p for p in r.patterns if not search.whole_text(p) or p.pure is not None]
 
@@ -93,7 +93,7 @@ def json_events(corpus: DataFrame, r: Request) -> DataFrame:
 
     totals = F.struct(F.size("lines").alias("matched_lines"), search._sum_hits("lines").alias("matches"), F.octet_length("text").alias("bytes_searched"))
     events = F.concat(edge("begin", 0, F.struct(path.alias("path"))), F.transform("lines", match), edge("end", 2, F.struct(path.alias("path"), totals.alias("stats"))))
-    return df.select("file_id", F.explode(events).alias("e")).select("file_id", "e.part", "e.line_no", "e.event")
+    return df.select("file_id", F.explode(F.when(F.size("lines") > 0, events)).alias("e")).select("file_id", "e.part", "e.line_no", "e.event")
 
 
 def sorted_files(files: DataFrame, by: str = "path", descending: bool = False) -> DataFrame:

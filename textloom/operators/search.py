@@ -352,11 +352,15 @@ def _sum_hits(a: str) -> Column:
     return F.aggregate(F.filter(a, lambda x: x["sel"]), F.lit(0).cast("bigint"), lambda s, x: s + x["hits"])
 
 
+def _counted(df: DataFrame, n: Column, include_zero: bool) -> DataFrame:
+    """Zero rows go inside a generator: a filter would sink below the projection and count twice."""
+    return df.select("file_id", n.alias("n") if include_zero else F.explode(F.filter(F.array(n), lambda x: x > 0)).alias("n"))
+
+
 def count_lines(corpus: DataFrame, r: Request, include_zero: bool = False) -> DataFrame:
     """file_id, n: selected lines of each file."""
     some = corpus if r.invert or include_zero else _candidates(corpus, list(r.patterns))
-    out = selected(some, r).select("file_id", _count("lines").alias("n"))
-    return out if include_zero else out.filter("n > 0")
+    return _counted(selected(some, r), _count("lines"), include_zero)
 
 
 def count_matches(corpus: DataFrame, r: Request, include_zero: bool = False) -> DataFrame:
@@ -364,8 +368,7 @@ def count_matches(corpus: DataFrame, r: Request, include_zero: bool = False) ->
     if r.invert:
         return count_lines(corpus, r, include_zero)
     some = corpus if include_zero else _candidates(corpus, list(r.patterns))
-    out = selected(some, r).select("file_id", _sum_hits("lines").alias("n"))
-    return out if include_zero else out.filter("n > 0")
+    return _counted(selected(some, r), _sum_hits("lines"), include_zero)
 
 
 def files_with(corpus: DataFrame, r: Request, without: bool = False) -> DataFrame:
