@@ -37,7 +37,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a corpus."""
-    df = _read(spark, d, "documents")
+    df = store.spread(_read(spark, d, "documents"))
     path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("."), "lang")
     return store.from_table(df, "doc_id", path, "text")
 

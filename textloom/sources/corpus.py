@@ -31,6 +31,18 @@ def from_table(df: DataFrame, file_id: str, path: str | Column, text: str) -> Da
     return df.select(F.col(file_id).cast("long").alias("file_id"), p.alias("path"), t.alias("text"), F.octet_length(t).cast("long").alias("size"))
 
 
+#: Tables under this size a core are spread over all cores, whatever files they come in.
+SMALL_PER_CORE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small tables in fewer files than there are cores: one row group is one task
+    otherwise.  Larger tables stay as they are read; they have tasks enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_PER_CORE * cores and len(df.inputFiles()) < cores else df
+
+
 def from_documents(spark: SparkSession, docs: list[tuple[str, bytes | str]]) -> DataFrame:
     """In-memory documents, in path order; repeated paths are kept."""
     rows = [(i, p, c if isinstance(c, bytes) else c.encode()) for i, (p, c) in enumerate(sorted(docs, key=lambda d: d[0]))]
