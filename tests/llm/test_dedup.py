@@ -152,3 +152,29 @@ def test_decontamination(spark, small, odd, none, odd_pairs, monkeypatch):
     assert out.columns == odd.columns
     left = digest(out, bench).filter("contaminated").select("doc_id").collect()
     assert {r.doc_id for r in left} <= {x[0] for x in want}
+
+
+def test_short_items_in_long_ones():
+    """Streams read words before their anchor again: what they find there neither cuts earlier ranges nor joins them."""
+    import random
+
+    def same(docs, items):
+        a = decontaminate.ItemAutomaton([(i, decontaminate.words(t.encode())) for i, t in items])
+        got = []
+        for d, t in docs:
+            spans, found = a.scan(decontaminate.words(t.encode()))
+            assert all(x < y for x, y in spans) and all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+            got.append((d, sum(y - x for x, y in spans), len({a.items[k][0] for k in found})))
+        assert got == [(x[0], x[2], x[3]) for x in brute.decontaminate(docs, items)]
+
+    long, short, other = "a1 a2 a3 a4 a5 a6 a7 s1 s2 s3 a11 a12", "s1 s2 s3", "t1 t2 t3"
+    docs = [(1, f"{long} zz {short}"), (2, f"{short} x y {other} z {short}"), (3, f"{other} x {long} y {other} z {short} {long}")]
+    same(docs, [(1, long), (2, short)])
+    same(docs, [(1, long), (2, short), (3, other)])
+    for seed in range(300):
+        r = random.Random(seed)
+        prose = lambda n: " ".join(r.choice("abcdef") + r.choice("12") for _ in range(n))
+        items = [(i, prose(r.randint(8, 25))) for i in range(3)]
+        items += [(9 + i, " ".join(r.choice(items)[1].split()[k : k + r.randint(1 + seed % 3, 9)])) for i, k in enumerate(r.choices(range(6), k=3))]
+        parts = [lambda: r.choice(items)[1], lambda: prose(r.randint(1, 8)), lambda: "zz " * r.randint(1, 9)]
+        same([(i, " ".join(r.choice(parts)() for _ in range(12))) for i in range(4)], items)

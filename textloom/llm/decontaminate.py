@@ -110,7 +110,7 @@ class ItemAutomaton:
     def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit word ranges (disjoint, ascending) and the numbers of items with occurring windows."""
         n, g, get, triples = len(ws), self.gram, self.number.get, self.triples
-        hits: list[list[int]] = []
+        hits: list[tuple[int, int]] = []
         found: set[int] = set()
         upto = 0  # words before it were streamed
         if g == 3:
@@ -120,13 +120,16 @@ class ItemAutomaton:
         for at in anchors:
             if at + g <= upto:
                 continue
-            upto = self._stream(ws, max(at - self.window, 0), at + g, hits, found)
-        return [(a, b) for a, b in hits], found
+            upto, part = self._stream(ws, max(at - self.window, 0), at + g, found)
+            hits += part
+        return _merge(hits), found
 
-    def _stream(self, ws: list[bytes], start: int, least: int, hits: list[list[int]], found: set[int]) -> int:
+    def _stream(self, ws: list[bytes], start: int, least: int, found: set[int]) -> tuple[int, list[tuple[int, int]]]:
+        """Where streaming stopped, and the hit ranges it met: ascending among themselves, but they may lie before and in ranges of earlier streams."""
         go, link, length, win, get = self.go, self.link, self.length, self.window, self.number.get
         state = size = 0
         recent: list[int | None] = []
+        hits: list[tuple[int, int]] = []
         for j in range(start, len(ws)):
             w = get(ws[j])
             recent.append(w)
@@ -159,10 +162,10 @@ class ItemAutomaton:
                 a = j + 1 - took
                 while hits and a <= hits[-1][1]:
                     a = min(a, hits.pop()[0])
-                hits.append([a, j + 1])
+                hits.append((a, j + 1))
             if size < self.gram and j + 1 >= least:
-                return j + 1
-        return len(ws)
+                return j + 1, hits
+        return len(ws), hits
 
 
 def _groups(benchmark: DataFrame, most: int) -> Iterator[tuple[list[tuple[object, list[bytes]]], bool]]:
