@@ -19,6 +19,8 @@ from textloom.sources import corpus as store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Needles without a rare word that are broadcast at once.
+NEEDLE_BYTES = 4 << 20
 
 
 def query(sql: str | None = None):
@@ -236,17 +238,26 @@ def multi_pattern_union(spark, d):
 @query("""WITH p AS (SELECT DISTINCT item_id, text AS needle FROM benchmark WHERE length(text) >= 4)
 SELECT d.doc_id AS file_id, count(*) AS n FROM documents d JOIN p ON contains(d.text, p.needle) GROUP BY 1""")
 def pattern_file(spark, d):
-    """Patterns from a table: needles meet documents in a rare word of theirs, then are looked for."""
-    needles = _read(spark, d, "benchmark").filter(F.length("text") >= 4).select("item_id", F.col("text").alias("needle")).distinct()
+    """Patterns from a table: needles meet documents in a rare word of theirs, then are looked for.
+
+    Needles without such a word are looked for in all documents, a bounded group of them at a time.
+    """
+    needles = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")).distinct()
     inner = lambda c: F.filter(F.split(c, r"[^\p{L}]+", -1), lambda w: F.length(w) > 0)
     # the longest whole word of the needle (not its first or last, which may be parts of words in a text)
     whole = F.slice(inner("needle"), 2, F.greatest(F.size(inner("needle")) - 2, F.lit(0)))
     key = F.array_max(F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = needles.withColumn("key", key)
+    keyed = needles.filter("needle IS NOT NULL").withColumn("key", key).withColumn("no", F.xxhash64("item_id", "needle"))
     docs = documents(spark, d)
     words = docs.select("file_id", F.explode(F.array_distinct(inner("text"))).alias("key"))
-    pairs = words.join(keyed.filter("key IS NOT NULL").select("key", "item_id"), "key").select("file_id", "item_id").distinct()
-    met = docs.join(pairs, "file_id").join(needles, "item_id").filter(F.contains("text", F.col("needle")))
+    rare, rest = keyed.filter("key IS NOT NULL"), keyed.filter("key IS NULL").select("no", "needle")
+    pairs = words.join(rare.select("key", "no"), "key").select("file_id", "no").distinct()
+    met = docs.join(pairs, "file_id").join(rare.select("no", "needle"), "no").filter(F.contains("text", F.col("needle"))).select("file_id")
+    size = rest.agg(F.sum(F.octet_length("needle") + 16)).first()[0] or 0
+    groups = -(-size // NEEDLE_BYTES)
+    for k in range(groups):
+        group = F.broadcast(rest.filter(F.pmod("no", F.lit(groups)) == k))
+        met = met.unionByName(docs.join(group, F.contains("text", F.col("needle"))).select("file_id"))
     return met.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
 
 
