@@ -43,3 +43,9 @@ def test_pattern_file_short_needles(spark, tables, monkeypatch, limit):
     needles = {x for x in ITEMS if x[1] is not None}
     want = {i: n for i, t in enumerate(TEXTS) if t is not None and (n := sum(x in t for _, x in needles))}
     assert {r.file_id: r.n for r in queries.pattern_file(spark, tables).collect()} == want
+
+
+def test_base64_of_long_texts(spark, tables):
+    want = [(i, len(b), base64.b64encode(b).decode()) for i, t in enumerate(TEXTS) for b in [(t or "").encode()]]
+    same_rows(queries.base64_whole_texts(spark, tables), want)
+    assert sorted(oracle(tables, "base64_whole_texts")) == want

@@ -453,6 +453,12 @@ def base64_payload(spark, d):
     return c.select("file_id", F.col("size").alias("n"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]+", "").alias("b64"))
 
 
+@query("SELECT doc_id AS file_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, base64(encode(coalesce(text, ''))) AS b64 FROM documents")
+def base64_whole_texts(spark, d):
+    """Every text, whole: ``base64_payload`` has only those of at most 200 bytes, as its SQL says."""
+    return documents(spark, d).select("file_id", F.col("size").alias("n"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]+", "").alias("b64"))
+
+
 # -- index ------------------------------------------------------------------------------
 
 _IX = IndexOptions(chunk_bytes=4096, overlap=128)
