@@ -49,3 +49,25 @@ def test_base64_of_long_texts(spark, tables):
     want = [(i, len(b), base64.b64encode(b).decode()) for i, t in enumerate(TEXTS) for b in [(t or "").encode()]]
     same_rows(queries.base64_whole_texts(spark, tables), want)
     assert sorted(oracle(tables, "base64_whole_texts")) == want
+
+
+@pytest.mark.parametrize("held", [2_000_000, 30])
+def test_qgrams_of_documents(spark, tables, monkeypatch, held):
+    """Whole texts, not only ASCII, over several chunks."""
+    from textloom.operators import index as ix
+
+    monkeypatch.setattr(ix, "HELD_GRAMS", held)
+    n, chunks, docs = Counter(), Counter(), Counter()
+    for b in ((t or "").encode() for t in TEXTS):
+        grams = [b[i : i + 4].hex().upper() for i in range(len(b) - 3)]
+        n.update(grams)
+        docs.update(set(grams))
+        for at in range(0, len(b), 4096):
+            chunks.update(set(grams[at : at + 4096 + 128 - 3]))
+    want = [(g, n[g], chunks[g], docs[g]) for g in n]
+    assert chunks != docs and any(g.startswith("C3A9") for g in n)
+    same_rows(queries.qgram_stats_documents(spark, tables), want)
+    if held > 30:
+        for name in ("rarity_plan_documents", "qgram_entropy_documents"):
+            same_rows(queries.QUERIES[name](spark, tables), oracle(tables, name))
+        assert sorted(oracle(tables, "qgram_stats_documents")) == sorted(want)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.index import byte_histogram
+from textloom.operators.index import Q, byte_histogram, qgram_stats
 
 
 def entropy(histogram: DataFrame, n: str = "n") -> DataFrame:
@@ -21,6 +21,8 @@ def byte_entropy(corpus: DataFrame) -> DataFrame:
 
 def qgram_entropy(corpus: DataFrame, q: int) -> DataFrame:
     """Entropy of the q-byte strings of all texts."""
+    if q == Q:
+        return entropy(qgram_stats(corpus).select("gram", F.col("occurrence_frequency").alias("n")))
     b = F.col("b")
     grams = F.when(F.octet_length(b) >= q, F.transform(F.sequence(F.lit(1), F.octet_length(b) - (q - 1)), lambda i: F.substring(b, i, F.lit(q)))).otherwise(F.array().cast("array<binary>"))
     rows = corpus.select(F.col("text").cast("binary").alias("b")).select(F.explode(grams).alias("g"))

@@ -76,21 +76,14 @@ def _extracted(o: IndexOptions, blocks: bool):
                         if blocks:
                             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(u), block, np.int64))], ["gram", "file_id", "chunk_no", "block_no"])
                         else:
-                            core = np.zeros(len(u), np.int64)
-                            cu, cn = np.unique(g[: o.chunk_bytes], return_counts=True)
-                            core[np.searchsorted(u, cu)] = cn
-                            yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), pa.array(core)], ["gram", "file_id", "chunk_no", "n", "n_core"])
+                            yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64))], ["gram", "file_id", "chunk_no", "n"])
 
     return run
 
 
-def _postings(corpus: DataFrame, o: IndexOptions) -> DataFrame:
-    return _binary(corpus).mapInArrow(_extracted(o, False), "gram binary, file_id long, chunk_no long, n long, n_core long")
-
-
 def postings(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFrame:
     """gram, file_id, chunk_no, n (occurrences)."""
-    return _postings(corpus, o).drop("n_core")
+    return _binary(corpus).mapInArrow(_extracted(o, False), "gram binary, file_id long, chunk_no long, n long")
 
 
 def block_postings(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFrame:
@@ -101,11 +94,53 @@ def block_postings(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataF
 def qgram_stats(corpus: DataFrame, o: IndexOptions = IndexOptions()) -> DataFrame:
     """gram, occurrence_frequency (starts in cores), chunk_frequency, document_frequency.
 
-    Files first, then all files: partial sums, no distinct counts.
+    A file is a row, so its counts are final where its text is; they are summed over files in numpy,
+    a bounded number at a time, and only the sums are shuffled.
     """
-    rows = _postings(corpus, o)
-    per_file = rows.groupBy("gram", "file_id").agg(F.sum("n_core").alias("n"), F.count(F.lit(1)).alias("c"))
-    return per_file.groupBy("gram").agg(F.sum("n").alias("occurrence_frequency"), F.sum("c").alias("chunk_frequency"), F.count(F.lit(1)).alias("document_frequency"))
+
+    def run(batches):
+        parts, held = [], 0
+        for b in batches:
+            for data in b.column("b").to_pylist():
+                g = _grams_of(data)
+                if not len(g):
+                    continue
+                u, n = np.unique(g, return_counts=True)
+                if len(data) <= o.chunk_bytes:
+                    in_chunks = np.ones(len(u), np.int64)
+                else:
+                    seen = [np.unique(g[at : at + o.chunk_bytes + o.overlap - Q + 1]) for at in range(0, len(data), o.chunk_bytes)]
+                    in_chunks = np.bincount(np.searchsorted(u, np.concatenate(seen)), minlength=len(u))
+                parts.append((u, n, in_chunks, np.ones(len(u), np.int64)))
+                held += len(u)
+                if held > HELD_GRAMS:
+                    parts = [_summed(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD_GRAMS // 2:
+                        yield _stats_batch(parts.pop())
+                        held = 0
+        if parts:
+            yield _stats_batch(_summed(parts))
+
+    rows = _binary(corpus).mapInArrow(run, "gram binary, n long, c long, d long")
+    return rows.groupBy("gram").agg(F.sum("n").alias("occurrence_frequency"), F.sum("c").alias("chunk_frequency"), F.sum("d").alias("document_frequency"))
+
+
+#: Strings with counts that a task holds before it sums them.
+HELD_GRAMS = 2_000_000
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row a string."""
+    grams, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    firsts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[firsts], *(np.add.reduceat(c[order], firsts) for c in counts)
+
+
+def _stats_batch(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_as_binary(part[0]), *(pa.array(c.astype(np.int64)) for c in part[1:])], ["gram", "n", "c", "d"])
 
 
 def byte_histogram(corpus: DataFrame) -> DataFrame:

@@ -511,6 +511,31 @@ def indexed_find(spark, d):
     return ix.indexed_find(docs, ix.postings(docs, _IX), compile_pattern("(icens|assword)[a-z=]"), _IX).select("file_id", "start", "end")
 
 
+# the byte strings of whole documents in hexadecimal: every fourth one from each of four starts
+_DOC_GRAMS = """x AS (SELECT doc_id AS rid, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT rid, r, regexp_extract_all(substr(x, CAST(2 * r + 1 AS BIGINT)), '.{8}') AS p FROM x, (SELECT unnest(range(4)) AS r)),
+s1 AS (SELECT rid, r, unnest(p) AS gram, unnest(range(len(p))) AS k FROM s),
+q AS (SELECT rid, gram, 4 * k + r AS pos FROM s1)"""
+_DOC_STATS = f"""{_DOC_GRAMS},
+e AS (SELECT gram, rid, pos // 4096 AS c, 1 AS n FROM q UNION ALL SELECT gram, rid, pos // 4096 - 1, 0 FROM q WHERE pos >= 4096 AND pos % 4096 <= 124),
+f AS (SELECT gram, rid, c, sum(n) AS n FROM e GROUP BY 1, 2, 3),
+g AS (SELECT gram, rid, sum(n) AS n, count(*) AS c FROM f GROUP BY 1, 2),
+stats AS (SELECT gram, CAST(sum(n) AS BIGINT) AS occurrence_frequency, CAST(sum(c) AS BIGINT) AS chunk_frequency, count(*) AS document_frequency FROM g GROUP BY 1)"""
+
+
+@query(f"WITH {_DOC_STATS} SELECT gram, occurrence_frequency, chunk_frequency, document_frequency FROM stats")
+def qgram_stats_documents(spark, d):
+    """Over whole documents in any script; ``qgram_stats`` has the ASCII items of the benchmark, as its SQL says."""
+    return ix.qgram_stats(documents(spark, d), _IX).withColumn("gram", F.hex("gram"))
+
+
+@query(f"""WITH {_DOC_STATS}, want AS (SELECT DISTINCT hex(encode(substr('another thing', i, 4))) AS gram FROM (SELECT unnest(range(1, 11)) AS i))
+SELECT gram FROM want LEFT JOIN stats USING (gram) ORDER BY coalesce(chunk_frequency, 0), gram LIMIT 4""")
+def rarity_plan_documents(spark, d):
+    grams = ix.plan_grams(ix.qgram_stats(documents(spark, d), _IX), "another thing")
+    return spark.createDataFrame([(g.hex().upper(),) for g in grams], "gram string")
+
+
 _BYTES = "b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents), n AS (SELECT h, count(*) AS n FROM b GROUP BY 1)"
 
 
@@ -559,6 +584,11 @@ def qgram_entropy(spark, d):
     return analytics.qgram_entropy(c, 4).select(F.round("bits", 6).alias("bits"))
 
 
+@query(f"WITH {_DOC_GRAMS}, n AS (SELECT gram, count(*) AS n FROM q GROUP BY 1), t AS (SELECT sum(n) AS t FROM n) SELECT round(-sum(n / t * log2(n / t)), 6) AS bits FROM n, t")
+def qgram_entropy_documents(spark, d):
+    return analytics.qgram_entropy(documents(spark, d), 4).select(F.round("bits", 6).alias("bits"))
+
+
 @query("SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(strlen(text)) AS min_size, max(strlen(text)) AS max_size, round(avg(strlen(text)), 6) AS mean_size, count(*) - count(DISTINCT text) AS duplicates, count(*) FILTER (WHERE contains(text, chr(0))) AS binaries FROM documents")
 def corpus_profile(spark, d):
     return analytics.corpus_profile(documents(spark, d)).withColumn("mean_size", F.round("mean_size", 6))
