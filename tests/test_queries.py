@@ -71,3 +71,12 @@ def test_qgrams_of_documents(spark, tables, monkeypatch, held):
         for name in ("rarity_plan_documents", "qgram_entropy_documents"):
             same_rows(queries.QUERIES[name](spark, tables), oracle(tables, name))
         assert sorted(oracle(tables, "qgram_stats_documents")) == sorted(want)
+
+
+def test_all_files_are_sorted(spark, tmp_path):
+    docs = [(i, "a license" if i % 3 else "none", "en", f"src{i * 7 % 5}", 9) for i in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.all_sorted_by_path_desc(spark, str(tmp_path))
+    paths = [r.path for r in out.collect()]
+    assert len(paths) == 60 and paths == sorted(paths, reverse=True)
+    assert "TakeOrdered" not in out._jdf.queryExecution().executedPlan().toString()

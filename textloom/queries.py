@@ -354,6 +354,12 @@ def sort_by_path_desc(spark, d):
     return output.sorted_files(search.files_with(documents(spark, d), Request.of("license")), "path", True).select("file_id", "path").limit(20)
 
 
+@query(f"SELECT doc_id AS file_id, {_PATH} AS path FROM documents WHERE contains(text, 'license') ORDER BY path DESC")
+def all_sorted_by_path_desc(spark, d):
+    """All files in order: ``sort_by_path_desc`` has only the first 20, as its SQL says."""
+    return output.sorted_files(search.files_with(documents(spark, d), Request.of("license")), "path", True).select("file_id", "path")
+
+
 # -- selection ----------------------------------------------------------------------
 
 
