@@ -80,3 +80,15 @@ def test_all_files_are_sorted(spark, tmp_path):
     paths = [r.path for r in out.collect()]
     assert len(paths) == 60 and paths == sorted(paths, reverse=True)
     assert "TakeOrdered" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_literals_across_blocks(spark):
+    """A literal that no block sees whole has no candidates to tell; the longest that one sees has."""
+    from textloom.operators import index as ix
+
+    o = ix.IndexOptions(chunk_bytes=4096)
+    for n in (65, 66, 100):
+        literal = "".join(chr(97 + i * 7 % 26) + chr(65 + i % 25) for i in range(50))[:n]
+        corpus = spark.createDataFrame([(1, "." * 255 + literal + "." * 500)], "file_id long, text string")
+        some = ix.candidates(ix.block_postings(corpus, o), literal, o)
+        assert some is None if n > 65 else [r.file_id for r in some.collect()] == [1]

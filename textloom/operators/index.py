@@ -182,7 +182,8 @@ def plan_grams(stats: DataFrame, literal: str, planned: int = 4) -> list[bytes]:
 
 def candidates(found: DataFrame, literal: str, o: IndexOptions = IndexOptions(), grams: list[bytes] | None = None) -> DataFrame | None:
     """file_id, chunk_no (and block_no, for block postings) that hold all the strings; None: the index can't tell."""
-    if len(literal.encode()) < Q or len(literal.encode()) > o.overlap:
+    longest = min(o.overlap, LOOKAHEAD + 1) if "block_no" in found.columns else o.overlap
+    if not Q <= len(literal.encode()) <= longest:
         return None
     grams = query_grams(literal) if grams is None else grams
     key = [c for c in ("file_id", "chunk_no", "block_no") if c in found.columns]
