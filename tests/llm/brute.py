@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import xxhash
@@ -55,12 +56,12 @@ def simhash(docs):
 
 def repeats(docs, length=400):
     texts = [(t or "").encode() for _, t in docs]
-    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    seen = Counter(hashlib.blake2b(t[i : i + length], digest_size=16).digest() for t in texts for i in range(len(t) - length + 1))
     out = []
     for (d, _), t in zip(docs, texts, strict=True):
         on = bytearray(len(t))
         for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
+            if seen[hashlib.blake2b(t[i : i + length], digest_size=16).digest()] > 1:
                 on[i : i + length] = b"\1" * length
         spans = len(re.findall(b"\1+", on))
         kept = bytes(c for c, x in zip(t, on, strict=True) if not x)
@@ -91,3 +92,81 @@ def decontaminate(docs, items, window=10):
                     own |= {str(i) for i in w if i is not None}
         out.append((d, len(ws), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def toxicity(text, bias, weights):
+    """A model's score by its definition: words and their beginnings of four to six letters, each counted once."""
+    have = set()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        have |= {w} | {w[:n] + "*" for n in (4, 5, 6) if len(w) > n}
+    z = bias + sum(weights.get(f, 0.0) for f in have)
+    return 1 / (1 + 2.718281828459045 ** -max(-500, min(500, z)))
+
+
+def language(text, raw, level, piece):
+    """The language whose dictionary makes the pieces of a text smallest; dictionaries are not precomputed here."""
+    import zstandard
+
+    clean = re.sub(r"\s+", " ", "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())).strip()
+    if not any(c.isalpha() for c in clean) or not raw:
+        return "und"
+    sizes = []
+    for lang in raw:
+        d = zstandard.ZstdCompressionDict(raw[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((sum(len(c.compress(clean[i : i + piece].encode())) for i in range(0, len(clean), piece)), lang))
+    return min(sizes)[1]
+
+
+def allocation(leaves, weights, budget, epochs, levels, other):
+    """Water-filling by its definition.  leaves: (domain, lang, source) -> tokens."""
+
+    def fill(budget, kids):
+        """kids: name -> (capacity, weight)"""
+        out, todo = {}, dict(kids)
+        while todo:
+            w = sum(x for _, x in todo.values())
+            full = {k: c for k, (c, x) in todo.items() if c * w <= budget * x}
+            if not full:
+                return out | {k: int(budget / w * x) for k, (_, x) in todo.items()}
+            out |= full
+            budget -= sum(full.values())
+            todo = {k: v for k, v in todo.items() if k not in full}
+        return out
+
+    def down(prefix, budget):
+        depth = len(prefix)
+        if depth == 3:
+            return {prefix: budget}
+        caps = Counter()
+        for leaf, t in leaves.items():
+            if leaf[:depth] == prefix:
+                caps[leaf[depth]] += t * epochs
+        got = fill(budget, {k: (c, weights.get(levels[depth], {}).get(k, other)) for k, c in caps.items()})
+        out = {}
+        for k, b in got.items():
+            out |= down((*prefix, k), b)
+        return out
+
+    return down((), budget)
+
+
+def mix(docs, weights, levels, other, epochs, seed):
+    """doc_id -> passes, for docs of (doc_id, text, lang, source); domains as the engine's default has them."""
+    domain = {**dict.fromkeys("0123", "web"), **dict.fromkeys("456", "books"), **dict.fromkeys("789", "code")}
+    tokens = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, _, _ in docs}
+    leaf = {d: (domain[s[-1]], lang, s) for d, _, lang, s in docs}
+    leaves = Counter()
+    for d, n in tokens.items():
+        leaves[leaf[d]] += n
+    out = {}
+    for at, given in allocation(leaves, weights, sum(leaves.values()), epochs, levels, other).items():
+        if not leaves[at]:
+            continue
+        passes, left = divmod(given, leaves[at])
+        run = 0
+        for d in sorted((d for d in leaf if leaf[d] == at), key=lambda d: hashlib.md5(f"{seed}:{passes}:{d}".encode()).hexdigest()):
+            run += tokens[d]
+            if passes + (run <= left):
+                out[d] = passes + (run <= left)
+    return out

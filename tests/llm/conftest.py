@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key long, n int, rest string"
+#: Values of columns whose names the operators use themselves.
+MORE = (7, "c", 7, 7, "b", 7, "b", "r")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key long, n int, rest string, _keep long, _row string, w long, id long, body string, shard int, best string, row string"
 
 
 def odd_rows():
@@ -17,8 +19,8 @@ def odd_rows():
         long, long, long[:-1] + "!", long[500:3000] + "é" + long[2600:3500], shared, f"{prose(30)} {shared} {prose(20)}", f"{shared}\n{shared}", "x" * 399, "x" * 400, "y" * 401, "z" * 1500,
         "\x00nul\x00", "日本語のテキスト" * 30, "1" * 3000, "🙂" * 200, shared + ".", prose(200), "ÀÉ " * 40,
     ]
-    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["a", "b", None]), None if t is None else len(t), "s", i, 1, "r") for i, t in enumerate(texts)]
-    rows += [rows[12], rows[9], (None, line, None, None, None, None, None, None, None), (None, long, "en", "a", 1, None, 0, 0, "")]
+    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["a", "b", None]), None if t is None else len(t), "s", i, 1, "r", *MORE) for i, t in enumerate(texts)]
+    rows += [rows[12], rows[9], (None, line, *[None] * 15), (None, long, "en", "a", 1, None, 0, 0, "", *MORE)]
     return rows
 
 

@@ -51,15 +51,45 @@ def test_lines_can_be_taken_back(spark, tmp_path):
     s.delete(b)
     assert rows(s.apply(a), "doc_id", "text") == before
     live = {r.shard: line_dedup.CuckooFilter.load(bytes(r.bits)) for r in s.filters().collect()}
-    for k in s._sharded(s.counts()).collect():
-        assert live[k.shard].contains(np.array([k.k2])).all()
-    assert sum(int((f.slots > 0).sum()) for f in live.values()) == s.counts().count()
+    for k in s.counts().collect():
+        assert live[k.k1 % s.meta["shards"]].contains(np.array([k.k2])).all()
+    assert sum(int((f.slots > 0).sum()) for f in live.values()) == s.counts().count() == s.meta["keys"]
+
+
+def test_filters_decide(spark, tmp_path, monkeypatch):
+    """A filter that denies what it has breaks the result: nobody else looks for repetitions."""
+    docs = spark.createDataFrame([(i, f"a line that repeats\nmine alone here {i}") for i in range(6)], "doc_id long, text string")
+    a, b = docs.filter("doc_id < 3"), docs.filter("doc_id >= 3")
+
+    def dropped(name, meddle=lambda s: None):
+        s = line_dedup.LineDedupStore(spark, str(tmp_path / name))
+        s.insert(a.filter("doc_id = 0"))
+        meddle(s)
+        s.insert(b.filter("doc_id = 3"))
+        return sum(r.n_dropped for r in s.apply(docs, True).collect())
+
+    assert dropped("with") == 1
+    assert dropped("without", lambda s: s.meta.update(filters=None)) == 0
+
+
+def test_filters_grow(spark, tmp_path):
+    s = line_dedup.LineDedupStore(spark, str(tmp_path / "s"), most_buckets=256)
+    docs = spark.range(12).selectExpr("id AS doc_id", "concat_ws('\n', transform(sequence(0, 2999), i -> concat('line number ', i + id * 1500))) AS text")
+    for k in range(3):
+        s.insert(docs.filter(f"doc_id % 3 = {k}"))
+    assert s.meta["buckets"] == 256 and s.meta["shards"] >= 32
+    assert rows(s.apply(docs, True), *LINES) == sorted(brute.line_dedup([tuple(r) for r in docs.collect()]), key=repr)
+    held = sum(int((line_dedup.CuckooFilter.load(bytes(r.bits)).slots > 0).sum()) for r in s.filters().collect())
+    assert held == s.counts().count() == s.meta["keys"]
+    s.delete(docs.filter("doc_id % 3 = 1"))
+    left = docs.filter("doc_id % 3 <> 1")
+    assert rows(s.apply(left, True), *LINES) == sorted(brute.line_dedup([tuple(r) for r in left.collect()]), key=repr)
 
 
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(-(2**62), 2**62, 50_000))
-    f = line_dedup.CuckooFilter.sized(len(keys))
+    f = line_dedup.CuckooFilter(1 << 15)
     assert f.insert(keys) and f.contains(keys).all()
     assert f.contains(r.integers(-(2**62), 2**62, 50_000)).mean() < 0.001
     f.delete(keys[:25_000])
@@ -88,13 +118,33 @@ def test_close_pairs(spark):
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 300, dtype=np.uint64)
     fp = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(1 << 63 | 4), base ^ np.uint64(7)]))
-    want = {tuple(sorted((int(a.view(np.int64)), int(b.view(np.int64))))) for i, a in enumerate(fp) for b in fp[:i] if (int(a) ^ int(b)).bit_count() <= 2}
-    assert {tuple(map(int, p)) for p in simhash.close_pairs(fp, tile=64)} == want
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(fp.tolist()) for b in fp[:i].tolist() if (a ^ b).bit_count() <= 2}
+    seen = [0, 0]
+    assert {tuple(sorted(p)) for q in simhash.close_pairs(fp, tile=64, seen=seen) for p in q.tolist()} == want
+    assert seen[0] and seen[1] > seen[0]  # counts differ by more than the radius for most tiles
+
+    def parts(edges):
+        root = {x: x for x in fp.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        groups = {}
+        for x in root:
+            groups.setdefault(find(x), set()).add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    u = lambda p: [tuple(int(np.int64(x).view(np.uint64)) for x in e) for e in p]
+    assert parts(u(simhash.joined(fp))) == parts(u(simhash.joined(fp, limit=50))) == parts(want)
     nodes = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    assert {tuple(p) for p in simhash.links(nodes).collect()} == want
-    old, simhash.TILE_LIMIT = simhash.TILE_LIMIT, 50
-    assert {tuple(map(int, p)) for p in simhash.close_pairs(fp, tile=64)} == want
-    simhash.TILE_LIMIT = old
+    found = u(simhash.links(nodes).collect())
+    assert parts(found) == parts(want) and set(map(tuple, map(sorted, found))) <= want | {(min(a, b), max(a, b)) for g in parts(want) for a in g for b in g}
+    with pytest.raises(ValueError):
+        simhash.links(nodes, 3)
 
 
 def test_components_of_a_chain(spark):
@@ -120,6 +170,31 @@ def test_repeats(spark, small, odd, none, odd_pairs):
     assert {(r.doc_id, sum(s.b - s.a for s in r.spans)) for r in repeats.removed_spans(odd).collect()} == {(x[0], x[2]) for x in want}
 
 
+def test_repeats_of_the_next_table(spark):
+    """Against all 400-byte strings of sf0.01, with groups of more than two members spread, too."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = sorted(brute.repeats([tuple(r) for r in docs.select("doc_id", "text").collect()]), key=repr)
+    assert rows(repeat_digest(docs), *REP) == want
+    assert rows(repeat_digest(docs, hot=2), *REP) == want
+
+
+def test_equal_hashes_are_not_enough():
+    """Windows are compared by their bytes where hashes agree."""
+    r = np.random.default_rng(4)
+    sides = r.integers(0, 256, (6, 2 * repeats.SIDE), dtype=np.uint8)
+    sides[1], sides[4] = sides[0], sides[3]
+    lo, hi = np.zeros(6, np.int32), np.full(6, repeats.SIDE, np.int32)
+    group = np.ones(6, np.int64)
+    right = repeats._repeated(group, sides, lo, hi)
+    assert right[[0, 1, 3, 4]].all() and not right[[2, 5]].any()
+    real = repeats._window_hashes
+    try:
+        repeats._window_hashes = lambda s: real(s) * np.uint64(0)  # all alike
+        assert np.array_equal(repeats._repeated(group, sides, lo, hi), right)
+    finally:
+        repeats._window_hashes = real
+
+
 def test_repeats_in_long_texts(spark):
     import random
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import langid, licenses, mixing, pii, quality, toxicity
 from textloom.llm.common import table
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 BLANK = r"\x20\x09-\x0D"
@@ -39,6 +40,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in both if not r.toxic) <= 0.02 * len(clean)
 
 
+def test_toxicity_against_a_plain_scorer(spark, small, odd, odd_pairs):
+    m = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    assert m.weights
+    for df, docs in ((table(spark, SF, "documents"), small), (odd, odd_pairs)):
+        got = sorted(((r.doc_id, r.score) for r in toxicity.scored(df, m).collect()), key=repr)
+        want = sorted(((d, brute.toxicity(t, m.bias, m.weights)) for d, t in docs), key=repr)
+        assert len(got) == len(want) and sorted(x for x, _ in got if x is not None) == sorted(x for x, _ in want if x is not None)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(sorted(x for _, x in got), sorted(x for _, x in want), strict=True))
+
+
+def test_swaps_that_reach_the_driver_are_few(spark):
+    """One text with 20,000 mentions makes as many rows as one with a few."""
+    import pyarrow as pa
+
+    ws = " ".join(f"word{i} muslim said." for i in range(20_000))
+    index = {f: i for i, f in enumerate(sorted(f for t in toxicity._GROUP for f in toxicity._features({t})))}
+    out = list(toxicity._encoded(index)(iter([pa.RecordBatch.from_arrays([pa.array([ws]), pa.array([0])], ["text", "toxic"])])))
+    assert sum(b.num_rows for b in out) < 300 and sum(sum(b.column("n").to_pylist()) for b in out) > 100_000
+
+
 def test_counterfactual_penalty(spark):
     """A term that goes with toxic labels must not make a neutral mention toxic."""
     base = ["a quiet day at the market", "we saw the river and the hills", "bread and milk for the week", "the train was late again today"]
@@ -85,6 +106,23 @@ def test_langid_of_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.predicted(odd, langid.dictionaries(none)).collect()} == {"und"}
 
 
+def test_langid_against_plain_compression(spark, small, odd, odd_pairs):
+    raw = langid.dictionaries(table(spark, SF, "documents"))
+    for df, docs in ((table(spark, SF, "documents"), small), (odd, odd_pairs)):
+        want = sorted(((d, brute.language(t, raw, langid.LEVEL, langid.PIECE)) for d, t in docs), key=repr)
+        assert rows(langid.predicted(df, raw), "doc_id", "lang_pred") == want
+        assert rows(langid.predicted(df, raw, group=2), "doc_id", "lang_pred", "score") == rows(langid.predicted(df, raw), "doc_id", "lang_pred", "score")
+
+
+def test_marks_stay_with_their_letters(spark):
+    assert langid.letters("हिन्दी, भाषा 12!") == "हिन्दी भाषा"
+    texts = ["हिन्दी भाषा में लिखा हुआ एक छोटा सा पाठ है " * 3, "मराठी भाषेत लिहिलेला एक छोटासा मजकूर आहे " * 3]
+    docs = spark.createDataFrame([(i, texts[i % 2] + str(i), ("hi", "mr")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    raw = langid.dictionaries(docs)
+    assert "हिन्दी" in raw["hi"].decode()
+    assert all(r.lang_pred == ("hi", "mr")[r.doc_id % 2] for r in langid.predicted(docs, raw).collect())
+
+
 # -- licenses ---------------------------------------------------------------------
 
 
@@ -144,22 +182,26 @@ def test_em_finds_accuracies(spark):
     import random
 
     r = random.Random(1)
-    good, bad, share = [0.99, 0.98, 0.95, 0.97, 0.96, 0.95, 0.99], [0.9, 0.85, 0.9, 0.95, 0.9, 0.85, 0.9], [0.1, 0.08, 0.06, 0.05, 0.04, 0.04, 0.03]
+    k = len(quality.RULES)
+    good, bad = [0.99, 0.98, 0.95, 0.97, 0.96, 0.95, 0.99, 0.98, 0.97][:k], [0.7, 0.6, 0.5, 0.6, 0.4, 0.3, 0.5, 0.6, 0.4][:k]
     data = []
-    for _ in range(40_000):
-        kind = r.choices(range(8), [*share, 0.6])[0]
-        data.append([0 if r.random() < 0.1 else ((-1 if r.random() < b else 1) if j == kind else (1 if r.random() < g else -1)) for j, (g, b) in enumerate(zip(good, bad, strict=True))])
-    m = quality.accuracies(spark.createDataFrame(data, [f"v_{x}" for x in quality.RULES]), 60).first()
-    assert abs(m.prior - 0.6) < 0.1 and all(abs(a - b) < 0.05 for a, b in zip(m.share, share, strict=True))
-    assert all(abs(a - b) < 0.03 for a, b in zip(m.good, good, strict=True))
+    for _ in range(20_000):
+        right = r.random() < 0.8
+        data.append([0 if r.random() < 0.1 else (1 if r.random() < (g if right else 1 - b) else -1) for g, b in zip(good, bad, strict=True)])
+    m = quality.accuracies(spark.createDataFrame(data, ", ".join(f"v_{x} int" for x in quality.RULES)), 40).first()
+    assert abs(m.prior - 0.8) < 0.02
+    assert all(abs(a - b) < 0.02 for a, b in zip(m.good, good, strict=True)) and all(abs(a - b) < 0.04 for a, b in zip(m.bad, bad, strict=True))
 
 
 def test_verdicts_follow_labels(spark):
+    """Better than keeping only documents without a bad vote: one vote of a rule that errs on good documents is outvoted."""
     sf = "/root/testdata/sf0.01"
-    out = quality.op5_quality(spark, sf).select("doc_id", "kept", "base_failed")
-    both = out.join(table(spark, sf, "labels"), "doc_id").filter("NOT base_failed").collect()
-    good, bad = [r.kept for r in both if r.quality == 1], [r.kept for r in both if r.quality == 0]
-    assert sum(good) > 0.97 * len(good) and sum(bad) < 0.6 * len(bad)
+    out = quality.judged(table(spark, sf, "documents")).withColumn("offences", sum(((F.col(f"v_{r}") < 0).cast("int") for r in quality.RULES), F.lit(0)))
+    both = out.join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").filter("NOT base_failed").collect()
+    good, bad = [r for r in both if r.label == 1], [r for r in both if r.label == 0]
+    assert sum(r.kept for r in good) >= 0.99 * len(good) and not any(r.kept for r in bad)
+    assert sum(r.kept == (r.label == 1) for r in both) > sum((r.offences == 0) == (r.label == 1) for r in both)
+    assert any(r.kept and r.offences for r in good)
 
 
 # -- personal data ----------------------------------------------------------------------
@@ -204,64 +246,53 @@ def test_pii(spark, small, odd, none, odd_pairs):
 
 
 def test_pii_method(spark):
-    texts = ["pay to DE89 3704 0044 0532 0130 00 please", "DE89370400440532013001", "GB82WEST12345698765432", "amex card 378282246310005", "number 378282246310005", "call 555-123-4567", "part 555-123-4567"]
+    texts = ["pay to DE89 3704 0044 0532 0130 00 please", "DE89370400440532013001", "GB82WEST12345698765432", "amex card 378282246310005", "number 378282246310005", "call 555-123-4567", "part 555-123-4567", "hotel 555-123-4567", f'token = "{"0f" * 20}"', f'commit {"0f" * 20}']
     df = docs_of(spark, texts)
     got = {r.doc_id: [k.name for k in pii.KINDS if not k.base and r[k.name]] for r in pii.find_pii(df).collect()}
-    assert got == {0: ["iban"], 1: [], 2: ["iban"], 3: ["card15"], 4: [], 5: ["localphone"], 6: []}
+    assert got == {0: ["iban"], 1: [], 2: ["iban"], 3: ["card15"], 4: [], 5: ["localphone"], 6: [], 7: [], 8: ["secret"], 9: []}
     out = [r.text for r in pii.redact(df.withColumn("text", F.concat(F.lit("é x@y.zz "), "text"))).orderBy("doc_id").collect()]
     assert out[0] == "é [EMAIL] pay to [IBAN] please" and out[4] == "é [EMAIL] number 378282246310005"
 
 
-# -- mixing --------------------------------------------------------------------------------
+def test_many_spans(spark):
+    n = 100_000
+    df = docs_of(spark, ["a@b.cd " * n])
+    found = pii.find_pii(df).select(F.size("email"), F.element_at("email", -1)["end"]).first()
+    assert tuple(found) == (n, 7 * n - 1)
+    assert pii.redact(df).first().text == "[EMAIL] " * n
+
+
+# -- very long texts ----------------------------------------------------------------------
 
 
-def brute_alloc(leaves, weights, budget, epochs):
-    def fill(budget, kids):
-        """kids: name -> (capacity, weight)"""
-        out, todo = {}, dict(kids)
-        while todo:
-            w = sum(x for _, x in todo.values())
-            full = {k: c for k, (c, x) in todo.items() if c * w <= budget * x}
-            if not full:
-                return out | {k: int(budget / w * x) for k, (_, x) in todo.items()}
-            out |= full
-            budget -= sum(full.values())
-            todo = {k: v for k, v in todo.items() if k not in full}
-        return out
-
-    def down(prefix, budget):
-        depth = len(prefix)
-        if depth == 3:
-            return {prefix: budget}
-        caps = Counter()
-        for leaf, t in leaves.items():
-            if leaf[:depth] == prefix:
-                caps[leaf[depth]] += t * epochs
-        got = fill(budget, {k: (c, weights.get(mixing.LEVELS[depth], {}).get(k, mixing.OTHER)) for k, c in caps.items()})
-        out = {}
-        for k, b in got.items():
-            out |= down((*prefix, k), b)
-        return out
-
-    return down((), budget)
+def test_a_million_words(spark):
+    """Every operator takes a text of a million words whole: what it says of the end counts."""
+    from textloom.llm import decontaminate, line_dedup, simhash
+
+    n = 1_000_000
+    body = "\n".join(" ".join(f"w{(i * 7919 + j * 104729) % 50_021}x" for j in range(20)) for i in range(n // 20))
+    text = body + "\nthe last line of all mail z@y.xx " + licenses.TEMPLATES["mit-notice"] + " done"
+    docs = spark.createDataFrame([(1, text, "en", "a0"), (2, "the last line of all mail z@y.xx " + licenses.TEMPLATES["mit-notice"] + " done", "de", "a1")], "doc_id long, text string, lang string, source string")
+    assert [r.text for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()][1] == ""
+    m = toxicity.Model(-1.0, {"done": 3.0})
+    assert {r.score > 0.5 for r in toxicity.scored(docs, m).collect()} == {True}
+    assert [len(r.matches) for r in licenses.scan(docs).collect()] == [1, 1]
+    assert langid.predicted(docs, {"xx": b"w1x w2x", "yy": b"bonjour"}).count() == 2
+    assert {r.n_words for r in quality.counts(docs).collect()} == {len(text.split()), 13}
+    assert {r.n_tokens for r in mixing.mix(docs, budget=10**9).collect()} == {len(text.split()), 13}
+    assert [x.end for r in pii.find_pii(docs).orderBy("doc_id").collect() for x in r.email][0] == text.index("z@y.xx") + 6
+    assert {f"{r.fp & (2**64 - 1):016x}" for r in simhash.fingerprints(docs.filter("doc_id = 1")).collect()} == {f"{brute.fingerprint(text):016x}"}
+    items = spark.createDataFrame([(1, "last line of all mail")], "item_id long, text string")
+    assert [r.ends for r in decontaminate.hit_ranges(docs, items).orderBy("doc_id").collect()][0] == [len(decontaminate.words(body.encode())) + 6]
+
+
+# -- mixing --------------------------------------------------------------------------------
 
 
 def test_mixing(spark):
     docs = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text", "lang", "source").collect()]
-    domain = {**dict.fromkeys("0123", "web"), **dict.fromkeys("456", "books"), **dict.fromkeys("789", "code")}
     tokens = {d: len(re.findall(rf"[^{BLANK}]+", t)) for d, t, _, _ in docs}
-    leaf = {d: (domain[s[-1]], lang, s) for d, _, lang, s in docs}
-    leaves = Counter()
-    for d, n in tokens.items():
-        leaves[leaf[d]] += n
-    want = {}
-    for at, given in brute_alloc(leaves, mixing.WEIGHTS, sum(leaves.values()), mixing.EPOCHS).items():
-        passes, left = divmod(given, leaves[at])
-        run = 0
-        for d in sorted((d for d in leaf if leaf[d] == at), key=lambda d: hashlib.md5(f"{mixing.SEED}:{passes}:{d}".encode()).hexdigest()):
-            run += tokens[d]
-            if passes + (run <= left):
-                want[d] = passes + (run <= left)
+    want = brute.mix(docs, mixing.WEIGHTS, mixing.LEVELS, mixing.OTHER, mixing.EPOCHS, mixing.SEED)
     got = {r.doc_id: r.copies for r in mixing.op6_mix(spark, SF).collect()}
     assert got == want
     spent = sum(tokens[d] * c for d, c in got.items())

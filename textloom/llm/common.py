@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,21 +31,50 @@ def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share.  Only where the
-    cluster names none, as in tests, a temporary one is made."""
+    """A new path in the folder that all executors share.  A session that names
+    none gets a temporary folder if it runs on this machine alone, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """``path`` goes when the driver's JVM ends; results that read it are lazy, so not before."""
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+
+
+#: Paths of the tables that ``stored`` wrote, by the DataFrames that read them.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a written table in the shared folder: lineage ends there."""
     path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    until_exit(df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes tables that ``stored`` returned and that nothing reads any more: what came of them is written."""
+    for df in tables:
+        path = _PATHS.pop(df, None) if df is not None else None
+        if path:
+            p, fs = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
@@ -73,4 +103,5 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 def held_out() -> Column:
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    """Whether crc32(doc_id as text) mod 5 is 0.  Rows with a null doc_id are never learnt from, so they count as held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True)).alias("held_out")

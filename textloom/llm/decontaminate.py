@@ -11,9 +11,10 @@ hence looking up every (L - 2)-th triple of the document misses no occurrence.
 From an anchor the automaton runs from L words before it to where the match
 falls below three words again.
 
-The benchmark is read in groups of items of at most ``MAX_ITEM_WORDS`` words.  One
-group is broadcast at a time; with several, documents pass once a group, carrying
-their hits, and each pass is written, so no worker holds more than one automaton.
+The benchmark is read in groups of items of at most ``MAX_ITEM_WORDS`` words, and
+no worker holds more than one automaton.  With one group, marks come straight from
+the scan.  With several, each group is a pass that writes the hits of documents
+that have any, and nothing of the others; the hits then meet the documents.
 
 Defined cases: null text, and null items, have no words; an item without words
 is no window.  Repeated item_ids and items are allowed; an item_id counts once.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from textloom.llm.common import bounded_batches, stored, table
 WINDOW = 10
 #: Words in items that one automaton takes: about 200 MB in each Python worker.
 MAX_ITEM_WORDS = 300_000
+#: Keys that the rows of one text are dealt to.
+SALTS = 16
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -209,38 +213,62 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _HITS = "n_words long, starts array<long>, ends array<long>, item_ids array<string>"
 
 
+def _scanned(rows: DataFrame, shared, window: int, head: list[str], only_hits: bool) -> DataFrame:
+    """``rows`` (text as binary) marked by one group of items: the columns ``head``, n_words, hit ranges, item_ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = _automaton(shared.value, window)
+        longs, names = pa.list_(pa.int64()), pa.list_(pa.string())
+        for b in batches:
+            n, starts, ends, ids = [], [], [], []
+            for text in b.column("text").to_pylist():
+                ws = words(text)
+                spans, found = a.scan(ws) if a.items else ([], set())
+                n.append(len(ws))
+                starts.append([x for x, _ in spans])
+                ends.append([x for _, x in spans])
+                ids.append(sorted({str(a.items[k][0]) for k in found if a.items[k][0] is not None}))
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in head), pa.array(n, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(ids, names)], [*head, "n_words", "starts", "ends", "item_ids"])
+            yield out.filter(pa.array([bool(x) for x in starts], pa.bool_())) if only_hits else out
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in head) + f", {_HITS}")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts of all rows, and their hits of several groups as one list."""
+    longs, names = pa.list_(pa.int64()), pa.list_(pa.string())
+    for b in batches:
+        n, starts, ends, ids = [], [], [], []
+        for text, s, e, i in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "ends", "item_ids")), strict=True):
+            spans = _merge([p for x, y in zip(s or (), e or (), strict=True) for p in zip(x, y, strict=True)])
+            n.append(len(words(text)))
+            starts.append([x for x, _ in spans])
+            ends.append([x for _, x in spans])
+            ids.append(sorted({x for part in i or () for x in part}))
+        yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("text"), pa.array(n, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(ids, names)], ["rest", "text", "n_words", "starts", "ends", "item_ids"])
+
+
 def _marked(rows: DataFrame, benchmark: DataFrame, window: int, most: int, keep_text: bool) -> DataFrame:
     """``rows`` (text as binary, rest: any struct) with n_words, hit ranges and item_ids; text only on request."""
     spark = rows.sparkSession
-    rest = rows.schema["rest"].dataType.simpleString()
-    seen = False
+    head = ["rest", "text"] if keep_text else ["rest"]
+    # equal texts have equal hits, so rows are known by two hashes of their text
+    known = rows.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t2"), "text").alias("t2"))
+    passes: list[DataFrame] = []
     for items, last in _groups(benchmark, most):
-        shared, carry, more = spark.sparkContext.broadcast(items), seen, keep_text or not last
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, carry=carry, more=more) -> Iterator[pa.RecordBatch]:
-            a = _automaton(shared.value, window)
-            longs, names = pa.list_(pa.int64()), pa.list_(pa.string())
-            for b in batches:
-                n, starts, ends, ids = [], [], [], []
-                before = zip(*(b.column(c).to_pylist() for c in ("starts", "ends", "item_ids")), strict=True) if carry else iter(lambda: ([], [], []), None)
-                for text, (s, e, i) in zip(b.column("text").to_pylist(), before, strict=False):
-                    ws = words(text)
-                    spans, found = a.scan(ws) if a.items else ([], set())
-                    if s:
-                        spans = _merge([*zip(s, e, strict=True), *spans])
-                    n.append(len(ws))
-                    starts.append([x for x, _ in spans])
-                    ends.append([x for _, x in spans])
-                    ids.append(sorted({str(a.items[k][0]) for k in found if a.items[k][0] is not None} | set(i)))
-                cols = [pa.array(n, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(ids, names)]
-                head = [b.column("rest"), b.column("text")] if more else [b.column("rest")]
-                yield pa.RecordBatch.from_arrays([*head, *cols], ["rest", *(["text"] if more else []), "n_words", "starts", "ends", "item_ids"])
-
-        rows = rows.mapInArrow(run, f"rest {rest}, {'text binary, ' if more else ''}{_HITS}")
-        if not last:
-            rows = stored(rows, "hits")
-        seen = True
-    return rows
+        shared = spark.sparkContext.broadcast(items)
+        if last and not passes:
+            return _scanned(rows, shared, window, head, False)
+        if items:
+            passes.append(stored(_scanned(known.select("text", "t1", "t2"), shared, window, ["t1", "t2"], True).dropDuplicates(["t1", "t2"]), "hits"))
+        shared.unpersist()
+    hits = reduce(DataFrame.unionByName, passes).groupBy("t1", "t2").agg(*(F.collect_list(c).alias(c) for c in ("starts", "ends", "item_ids")))
+    # a text may have a third of all rows, so rows of one text are dealt to SALTS keys
+    few = hits.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = known.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    both = salted.join(few, ["t1", "t2", "salt"], "left").select("rest", "text", "starts", "ends", "item_ids")
+    kind = rows.schema["rest"].dataType.simpleString()
+    return both.mapInArrow(_joined, f"rest {kind}, text binary, {_HITS}").select(*head, "n_words", "starts", "ends", "item_ids")
 
 
 def hit_ranges(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MAX_ITEM_WORDS) -> DataFrame:

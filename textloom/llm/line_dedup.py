@@ -3,15 +3,27 @@
 Each line of at least ``MIN_POINTS`` code points (after trimming and ASCII
 lower-casing) is a key.  The state is a folder with
 
-* ``refs``: the exact reference table, one row per key and document;
-* ``filters``: per shard of keys one cuckoo filter of the keys that are
-  referred to.  A key that its filter denies is new without a look into the
-  reference table; cuckoo filters, unlike Bloom filters, can forget keys.
-
-``insert`` adds documents, ``delete`` takes documents out again (their lines
-stop counting, and keys nobody refers to leave the filters), ``apply`` rewrites
-documents by the present state: a key found in two or more documents keeps its
-lines only in the smallest doc_id.
+* ``filters``: per shard of keys one cuckoo filter of the keys that are referred
+  to; cuckoo filters, unlike Bloom filters, can forget keys;
+* ``counts``: the exact reference counts, as additive rows (key, references,
+  smallest and largest doc_id);
+* ``repeated``: the keys of two or more documents, with the document that keeps
+  their lines;
+* ``refs``: key and doc_id of every reference, which make deletions exact.
+
+``insert`` streams a batch's references (summed up per task first, so that a hot
+key is a few rows) through the filter of their shard.  A key that the filter
+denies is new: it is filed there, its row is appended to the counts and nothing
+else is looked up.  A key that the filter may have, or that a single row already
+shows in two documents, is a candidate; only candidates are counted exactly, over
+the old rows and the new.  So the filters decide what is ever looked at, and their
+false positives cost a count each; a false negative would lose a repetition.
+
+``delete`` takes documents out again: keys of theirs are counted anew, keys nobody
+refers to leave the filters.  ``apply`` rewrites documents by the present state: a
+key found in two or more documents keeps its lines only in the smallest doc_id.
+When the keys outgrow the filters, their number or size is doubled and they are
+filled again from the counts.
 
 Defined cases: null or empty text is one empty line.  A null doc_id is no
 holder of keys and loses no lines.  Rows with the same doc_id are one document
@@ -27,18 +39,21 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, hot_join, table, text_bytes, work_dir
+from textloom.llm.common import bounded_batches, hot_join, table, text_bytes, until_exit, work_dir
 
 MIN_POINTS = 10
-#: Keys that a shard has when a store is sized.
-SHARD_KEYS = 200_000
 SLOTS = 4
+#: Shards of a new store, and the most buckets of a shard: 1 MB, some 300,000 keys.
+SHARDS, MOST_BUCKETS = 8, 1 << 17
+#: How full filters may become before they are made anew.
+LOAD = 0.7
+#: References that a task sums up at once.
+_SUMMED = 1 << 20
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -77,10 +92,6 @@ class CuckooFilter:
         self.buckets = buckets  # a power of two
         self.slots = np.zeros((buckets, SLOTS), np.uint16)
 
-    @classmethod
-    def sized(cls, keys: int) -> CuckooFilter:
-        return cls(1 << max(2, int(np.ceil(np.log2(max(1, keys) / (SLOTS * 0.6))))))
-
     @classmethod
     def load(cls, data: bytes) -> CuckooFilter:
         f = cls(len(data) // (2 * SLOTS))
@@ -148,26 +159,90 @@ class CuckooFilter:
                     break
 
 
-def _built(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard's filter from all its keys."""
-    keys = np.sort(pdf["k2"].to_numpy(np.int64))
-    f = CuckooFilter.sized(len(keys))
-    while not f.insert(keys):
-        f = CuckooFilter(f.buckets * 2)
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n_keys": [len(keys)], "bits": [f.dump()]})
+_COUNTS = "k1 long, k2 long, n long, keep long, last long"
+_PROBED = f"shard int, op int, bits binary, {_COUNTS}"
+_COUNT_COLS = ["k1", "k2", "n", "keep", "last"]
+#: What a row of a shard's stream is: its filter, a new row, a key to be filed or taken out without a question.
+FILTER, ROW, FILE, DROP = 0, 1, 2, 3
+#: What comes out: the new filter, a row that was new, a row whose key may be known, a filter that is full.
+NEW, MAYBE, FULL = 1, 2, 3
 
 
-FILTER_SCHEMA = "shard long, n_keys long, bits binary"
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """References to counts, as far as one task sees them: no key is hot afterwards."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k1, k2, d = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("k1", "k2", "doc_id"))
+        order = np.lexsort((d, k2, k1))
+        k1, k2, d = k1[order], k2[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(k1) != 0) | (np.diff(k2) != 0)]))
+        end = np.concatenate([first[1:], [len(d)]])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[first], k2[first], end - first, d[first], d[end - 1])], _COUNT_COLS)
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= _SUMMED:
+            yield out(held)
+            held, n = [], 0
+    if n:
+        yield out(held)
+
+
+def _through_filters(buckets: int):
+    """A shard after the other, each with its filter first and the rows in any order after it; one filter in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, f, full = None, None, False
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if shard is not None:
+                nothing = [pa.nulls(1, pa.int64())] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([FULL if full else FILTER], pa.int32()), pa.array([f.dump()], pa.binary()), *nothing], ["shard", "op", "bits", *_COUNT_COLS])
+
+        for b in batches:
+            shards, ops = b.column("shard").to_numpy(), b.column("op").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(shards) != 0) | (np.diff(ops) != 0)) + 1, [len(ops)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if shards[lo] != shard:
+                    yield from flush()
+                    shard, f, full = int(shards[lo]), CuckooFilter(buckets), False
+                if ops[lo] == FILTER:
+                    f = CuckooFilter.load(b.column("bits")[lo].as_py())
+                    continue
+                part = b.slice(lo, hi - lo)
+                k1, k2 = part.column("k1").to_numpy(zero_copy_only=False), part.column("k2").to_numpy(zero_copy_only=False)
+                if ops[lo] == DROP:
+                    f.delete(k2)
+                    continue
+                order = np.lexsort((k2, k1))
+                lead = np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)])
+                first, again = order[lead], order[~lead]
+                if ops[lo] == FILE:
+                    full |= not f.insert(k2[first])
+                    continue
+                known = np.zeros(len(k1), bool)
+                known[first] = f.contains(k2[first])
+                full |= not f.insert(k2[first[~known[first]]])
+                known[again] = f.contains(k2[again])
+                kind = np.where(known, MAYBE, NEW).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array(kind), pa.nulls(len(kind), pa.binary()), *(part.column(c) for c in _COUNT_COLS)], ["shard", "op", "bits", *_COUNT_COLS])
+        yield from flush()
+
+    return run
 
 
 class LineDedupStore:
     """The state of line deduplication in a folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, most_buckets: int = MOST_BUCKETS):
+        self.spark, self.path, self.most_buckets = spark, path, most_buckets
         bounded_batches(spark)
-        #: n_shards and the current generation's folders.
-        self.meta: dict = {"n_shards": 0, "refs": [], "filters": None}
+        #: the filters' number, size and keys, and the current generation's folders
+        self.meta: dict = {"shards": SHARDS, "buckets": 64, "keys": 0, "refs": [], "counts": [], "repeated": None, "filters": None}
 
     # -- the small description of the current generation --------------------
     def _hadoop(self):
@@ -191,76 +266,121 @@ class LineDedupStore:
     def _new(self, kind: str) -> str:
         return f"{self.path}/{kind}/{uuid.uuid4().hex}"
 
+    def _table(self, paths, schema: str) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
+
+    def _kept(self, df: DataFrame, kind: str) -> str:
+        df.write.parquet(path := self._new(kind))
+        return path
+
     # -- tables --------------------------------------------------------------
     def refs(self) -> DataFrame:
-        schema = "k1 long, k2 long, doc_id long"
-        if not self.meta["refs"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*self.meta["refs"])
+        return self._table(self.meta["refs"], "k1 long, k2 long, doc_id long")
+
+    def count_rows(self) -> DataFrame:
+        return self._table(self.meta["counts"], _PROBED).filter(F.col("op").isin(NEW, MAYBE)).select(*_COUNT_COLS)
 
     def counts(self) -> DataFrame:
-        """Exact per key: rows that refer to it, its smallest and largest doc_id."""
-        return self.refs().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"))
+        """Exact per key: references to it, its smallest and largest doc_id."""
+        return _totals(self.count_rows())
 
-    def filters(self) -> DataFrame:
-        if not self.meta["filters"]:
-            return self.spark.createDataFrame([], FILTER_SCHEMA)
-        return self.spark.read.schema(FILTER_SCHEMA).parquet(self.meta["filters"])
+    def repeated(self) -> DataFrame:
+        """The keys of two or more documents."""
+        return self._table(self.meta["repeated"], _COUNTS)
 
-    def _sharded(self, keys: DataFrame) -> DataFrame:
-        return keys.withColumn("shard", F.pmod("k1", F.lit(self.meta["n_shards"])))
+    def filters(self) -> DataFrame:
+        return self._table(self.meta["filters"], "shard int, bits binary")
+
+    def _sharded(self, keys: DataFrame, op: int) -> DataFrame:
+        """Rows of the shards' streams."""
+        cols = [F.col(c) if c in keys.columns else F.lit(None).cast("long").alias(c) for c in _COUNT_COLS]
+        return keys.select(F.pmod("k1", F.lit(self.meta["shards"])).cast("int").alias("shard"), F.lit(op).alias("op"), F.lit(None).cast("binary").alias("bits"), *cols)
+
+    def _streamed(self, filters: DataFrame, *rows: DataFrame) -> DataFrame:
+        first = filters.select("shard", F.lit(FILTER).alias("op"), "bits", *(F.lit(None).cast("long").alias(c) for c in _COUNT_COLS))
+        for r in rows:
+            first = first.unionByName(r)
+        return first.repartition("shard").sortWithinPartitions("shard", "op").mapInArrow(_through_filters(self.meta["buckets"]), _PROBED)
+
+    def _grown(self, keys: int) -> DataFrame:
+        """The filters, made anew from the counts if ``keys`` more don't fit."""
+        m, need = self.meta, self.meta["keys"] + keys
+        shards, buckets = m["shards"], m["buckets"]
+        while need > LOAD * SLOTS * buckets * shards:
+            buckets, shards = (buckets * 2, shards) if buckets < self.most_buckets else (buckets, shards * 2)
+        if (shards, buckets) == (m["shards"], m["buckets"]):
+            return self.filters()
+        m |= {"shards": shards, "buckets": buckets}
+        none = self._table(None, "shard int, bits binary")
+        if not m["counts"]:
+            return none
+        path = self._kept(self._streamed(none, self._sharded(self.counts().select("k1", "k2"), FILE)).filter("bits IS NOT NULL"), "filters")
+        return self.spark.read.schema(_PROBED).parquet(path).select("shard", "bits")
 
     # -- changes -------------------------------------------------------------
     def insert(self, docs: DataFrame) -> None:
         """Adds the documents' lines.  A doc_id may come again: its new lines add to the old."""
-        path = self._new("refs")
-        text_bytes(docs).mapInArrow(_refs, "k1 long, k2 long, doc_id long").write.parquet(path)
-        fresh = self.spark.read.schema("k1 long, k2 long, doc_id long").parquet(path)
-        n = fresh.count()
-        old = self.counts() if self.meta["refs"] else None
-        first = not self.meta["n_shards"]
-        if first:
-            self.meta["n_shards"] = max(8, -(-n // SHARD_KEYS))
-        keys = self._sharded(fresh.select("k1", "k2").distinct())
-        filters = self._new("filters")
-        if first or old is None:
-            keys.groupBy("shard").applyInPandas(_built, FILTER_SCHEMA).write.parquet(filters)
-        else:
-            probed = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_probe, "k1 long, k2 long, shard long, maybe boolean")
-            maybe = probed.filter("maybe").drop("maybe")
-            new = probed.filter("NOT maybe").drop("maybe").unionByName(maybe.join(old, ["k1", "k2"], "left_anti"))
-            grown = new.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_grow, "shard long, n_keys long, bits binary, full boolean")
-            grown.write.parquet(tried := self._new("grown"))
-            grown = self.spark.read.parquet(tried)
-            full = grown.filter("full").select("shard")
-            rebuilt = self._sharded(old.select("k1", "k2").unionByName(fresh.select("k1", "k2")).distinct()).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_built, FILTER_SCHEMA)
-            grown.filter("NOT full").drop("full").unionByName(rebuilt).write.parquet(filters)
-        self.meta["refs"] = [*self.meta["refs"], path]
-        self.meta["filters"] = filters
+        m = self.meta = dict(self.meta)
+        refs = self._kept(text_bytes(docs).mapInArrow(_refs, "k1 long, k2 long, doc_id long"), "refs")
+        fresh = self._table(refs, "k1 long, k2 long, doc_id long")
+        filters = self._grown(fresh.count())
+        while True:
+            # a batch's rows, each judged by its shard's filter, and the filters after them
+            probed = self._kept(self._streamed(filters, self._sharded(fresh.mapInArrow(_summed, _COUNTS), ROW)), "counts")
+            seen = self._table(probed, _PROBED)
+            if seen.filter(F.col("op") == FULL).isEmpty():
+                break
+            m["buckets"] *= 2  # a shard that is full against all odds
+            filters = self._grown(0) if not m["counts"] else self._refilled()
+        rows = seen.filter(F.col("op").isin(NEW, MAYBE))
+        candidates = rows.filter((F.col("op") == MAYBE) | (F.col("keep") < F.col("last"))).select("k1", "k2").distinct()
+        mine = rows.select(*_COUNT_COLS, (F.col("op") == NEW).alias("filed")).unionByName(self.count_rows().select(*_COUNT_COLS, F.lit(True).alias("filed")))
+        exact = mine.join(candidates, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("keep").alias("keep"), F.max("last").alias("last"), F.max("filed").alias("filed"))
+        judged = self._table(self._kept(exact, "candidates"), f"{_COUNTS}, filed boolean")
+        # keys that the filter took for others are new after all, and are filed too
+        late = self._sharded(judged.filter("NOT filed").select("k1", "k2"), FILE)
+        old = self.repeated().join(judged.select("k1", "k2"), ["k1", "k2"], "left_anti")
+        now = judged.filter("keep < last").select(*_COUNT_COLS)
+        blobs = seen.filter(F.col("op") == FILTER).select("shard", "bits")
+        m |= {
+            "filters": self._kept(self._streamed(blobs, late).filter("bits IS NOT NULL").select("shard", "bits"), "filters"),
+            "repeated": self._kept(old.unionByName(now) if m["repeated"] else now, "repeated"),
+            "refs": [*m["refs"], refs],
+            "counts": [*m["counts"], probed],
+            "keys": m["keys"] + rows.filter(F.col("op") == NEW).count() + judged.filter("NOT filed").count(),
+        }
         self.save()
 
+    def _refilled(self) -> DataFrame:
+        none = self._table(None, "shard int, bits binary")
+        return self._streamed(none, self._sharded(self.counts().select("k1", "k2"), FILE)).filter("bits IS NOT NULL").select("shard", "bits")
+
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes documents (column doc_id) out: an exact inverse of their insertion."""
+        m = self.meta = dict(self.meta)
         gone = doc_ids.select("doc_id").distinct()
-        path = self._new("refs")
-        self.refs().join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id").write.parquet(path)
-        kept = self.spark.read.schema("k1 long, k2 long, doc_id long").parquet(path)
-        dropped = self._sharded(self.refs().join(gone, "doc_id", "left_semi").select("k1", "k2").distinct().join(kept.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti"))
-        filters = self._new("filters")
-        dropped.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_shrink, FILTER_SCHEMA).write.parquet(filters)
-        self.meta |= {"refs": [path], "filters": filters}
+        refs = self._kept(self.refs().join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "refs")
+        touched = self._table(self._kept(self.refs().join(gone, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched"), "k1 long, k2 long")
+        left = self._table(refs, "k1 long, k2 long, doc_id long").join(touched, ["k1", "k2"], "left_semi").mapInArrow(_summed, _COUNTS)
+        left = self._table(self._kept(_totals(left), "candidates"), _COUNTS)
+        dropped = touched.join(left, ["k1", "k2"], "left_anti")
+        counts = self.counts().join(touched, ["k1", "k2"], "left_anti").unionByName(left)
+        m |= {
+            "counts": [self._kept(self._sharded(counts, NEW), "counts")],
+            "filters": self._kept(self._streamed(self.filters(), self._sharded(dropped, DROP)).filter("bits IS NOT NULL").select("shard", "bits"), "filters"),
+            "repeated": self._kept(self.repeated().join(touched, ["k1", "k2"], "left_anti").unionByName(left.filter("keep < last")), "repeated"),
+            "refs": [refs],
+            "keys": m["keys"] - dropped.count(),
+        }
         self.save()
 
     # -- use -----------------------------------------------------------------
     def drops(self) -> DataFrame:
         """doc_id and the keys whose lines it loses."""
         refs = self.refs()
-        return (
-            hot_join(refs, self.counts().filter("keep < last"), ["k1", "k2"], "n", refs.count())
-            .filter("doc_id > keep")
-            .groupBy("doc_id")
-            .agg(F.collect_set("k1").alias("lost"))
-        )
+        return hot_join(refs, self.repeated(), ["k1", "k2"], "n", refs.count()).filter("doc_id > keep").groupBy("doc_id").agg(F.collect_set("k1").alias("lost"))
 
     def apply(self, docs: DataFrame, digest: bool = False) -> DataFrame:
         """``docs`` with rewritten texts; with ``digest`` doc_id, counts and the
@@ -280,26 +400,8 @@ class LineDedupStore:
         return out.select(*cols)
 
 
-def _probe(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    maybe = CuckooFilter.load(filters["bits"].iloc[0]).contains(keys["k2"].to_numpy(np.int64)) if len(filters) and len(keys) else np.zeros(len(keys), bool)
-    return keys[["k1", "k2", "shard"]].assign(maybe=maybe)
-
-
-def _grow(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    shard = int((keys if len(keys) else filters)["shard"].iloc[0])
-    if not len(filters):
-        return _built(keys).assign(full=False)
-    f, n = CuckooFilter.load(filters["bits"].iloc[0]), int(filters["n_keys"].iloc[0]) + len(keys)
-    full = n > 0.9 * f.buckets * SLOTS or not f.insert(keys["k2"].to_numpy(np.int64))
-    return pd.DataFrame({"shard": [shard], "n_keys": [n], "bits": [f.dump()], "full": [full]})
-
-
-def _shrink(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    if not len(filters):
-        return pd.DataFrame({"shard": [], "n_keys": [], "bits": []})
-    f = CuckooFilter.load(filters["bits"].iloc[0])
-    f.delete(keys["k2"].to_numpy(np.int64))
-    return pd.DataFrame({"shard": filters["shard"], "n_keys": filters["n_keys"] - len(keys), "bits": [f.dump()]})
+def _totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.min("keep").alias("keep"), F.max("last").alias("last"))
 
 
 def _kept(text: bytes | None, lost: list[int] | None) -> tuple[int, int, bytes]:
@@ -332,18 +434,23 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()) if c == "text" else b.column(c) for c in names], names)
 
 
+def _fresh(docs: DataFrame, path: str | None) -> LineDedupStore:
+    spark = docs.sparkSession
+    store = LineDedupStore(spark, path or work_dir(spark, "lines"))
+    store.insert(docs)
+    if path is None:
+        until_exit(spark, store.path)
+    return store
+
+
 def dedup_lines(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One batch from an empty state: inserts ``docs``, then rewrites them."""
-    store = LineDedupStore(docs.sparkSession, path or work_dir(docs.sparkSession, "lines"))
-    store.insert(docs)
-    return store.apply(docs)
+    return _fresh(docs, path).apply(docs)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    store = LineDedupStore(spark, work_dir(spark, "lines"))
-    store.insert(docs)
-    return store.apply(docs, digest=True)
+    return _fresh(docs, None).apply(docs, digest=True)
 
 
 SQL = r"""

@@ -11,10 +11,13 @@ sparser still, since only matches of ``LENGTH`` bytes or more count:
 2. Samples whose string occurs once in the corpus are dropped (counts by hash).
 3. The rest carry the ``SIDE`` bytes before and after them.  A window around a
    sample is the sample and ``SIDE`` of these bytes, at one of ``SIDE + 1``
-   shifts.  For each shift the samples with equal strings are sorted by the
-   window's hash (128 bits with the sample's own): neighbours that are equal are
-   repeated windows.  Sorting goes in blocks of whole groups; groups past
-   ``HOT_GROUP`` members are spread over the cluster by shift and window.
+   shifts.  For each shift the samples with equal strings (128 bits of XXH3) are
+   sorted by the hash of the window's side bytes; neighbours with equal hashes are
+   compared byte by byte, and equal ones are repeated windows.  Sorting goes in
+   blocks of whole groups.
+   Groups past ``HOT_GROUP`` members are first grouped by whole equal sides: all
+   windows of members that agree there are repeated, and one member of each such
+   class goes on.  These are spread over the cluster by shift and side bytes.
 4. Covered bytes of each document are the union of its repeated windows.
 
 Nothing grows with a document's or a group's length in one task but a document's
@@ -28,6 +31,7 @@ other.  Null doc_ids are allowed.  Windows of one document may overlap.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, hot_join, stored, table
+from textloom.llm.common import bounded_batches, forget, hot_join, stored, table
 
 LENGTH = 400
 SIDE = 128
@@ -204,11 +208,23 @@ def _repeated(group: np.ndarray, sides: np.ndarray, lo: np.ndarray, hi: np.ndarr
     hit = np.zeros(h.shape, bool)
     hit[1:] |= same
     hit[:-1] |= same
+    for c in np.flatnonzero(same.any(0)):  # equal hashes are a proposal; the bytes decide
+        k = np.flatnonzero(same[:, c])
+        a, b = order[k, c], order[k + 1, c]
+        if not ((group[a] == group[b]) & ok[a, c] & ok[b, c]).all() or not np.array_equal(sides[a, c : c + SIDE], sides[b, c : c + SIDE]):
+            hit[:, c] = _by_bytes(group, sides[:, c : c + SIDE], ok[:, c])[order[:, c]]
     out = np.zeros(h.shape, bool)
     np.put_along_axis(out, order, hit, 0)
     return out & ok
 
 
+def _by_bytes(group: np.ndarray, windows: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Without hashes: for a column in which two different windows share one."""
+    keys = [(g, w.tobytes()) if o else None for g, w, o in zip(group.tolist(), windows, ok.tolist(), strict=True)]
+    n = Counter(keys)
+    return np.array([k is not None and n[k] > 1 for k in keys], bool)
+
+
 def _runs(hit: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last window start) of runs of repeated windows."""
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -255,15 +271,16 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hot groups: a row for each window."""
+    """One member of each class of a hot group: a row for each window, with 128 bits of its side bytes besides those of the sample."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             b = batch.slice(at, 1000)
-            h1, h2, lo, hi, rid, r2, pos = (b.column(c).to_numpy() for c in ("h1", "h2", "lo", "hi", "rid", "r2", "pos"))
+            h1, h2, lo, hi, cls = (b.column(c).to_numpy() for c in ("h1", "h2", "lo", "hi", "cls"))
             sides = np.frombuffer(b"".join(b.column("sides").to_pylist()), np.uint8).reshape(-1, 2 * SIDE)
             row, col = np.nonzero(_valid(lo, hi))
-            w = _window_hashes(sides)[row, col].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[row], h2[row], col.astype(np.int32), w, rid[row], r2[row], pos[row] - SIDE + col)], ["h1", "h2", "col", "w", "rid", "r2", "a"])
+            windows = np.lib.stride_tricks.sliding_window_view(sides, SIDE, axis=1)[row, col]
+            w = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, windows)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[row], h2[row], col.astype(np.int32), w[:, 0].copy(), w[:, 1].copy(), cls[row])], ["h1", "h2", "col", "w1", "w2", "cls"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -285,11 +302,24 @@ def repeated_starts(docs: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
     solved = cold.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_solve, _STARTS)
     if not spread:
         return solved
-    wide = found.filter(F.col("n") > hot).mapInArrow(_spread, "h1 long, h2 long, col int, w long, rid long, r2 long, a long")
-    wide = stored(wide, "windows")
-    keys = ["h1", "h2", "col", "w"]
-    twice = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return solved.unionByName(hot_join(wide, twice, keys, "n", wide.count()).select("rid", "r2", "a", F.col("a").alias("b")))
+    # classes of members with the same sides: told apart by their bytes, numbered by a hash of them
+    like = ["h1", "h2", "sides", "lo", "hi"]
+    warm = found.filter(F.col("n") > hot)
+    classes = stored(warm.groupBy(*like).agg(F.count(F.lit(1)).alias("m")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    wide = stored(classes.mapInArrow(_spread, "h1 long, h2 long, col int, w1 long, w2 long, cls long"), "windows")
+    keys = ["h1", "h2", "col", "w1", "w2"]
+    twice = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    cols = hot_join(wide, twice, keys, "k", wide.count()).groupBy("cls").agg(F.collect_list("col").alias("cols"))
+    every = F.transform(F.sequence(F.lit(SIDE) - F.col("hi"), F.lit(SIDE) - F.col("lo")), lambda c: c.cast("int"))
+    again = classes.join(cols, "cls", "left").withColumn("cols", F.when(F.col("m") > 1, every).otherwise(F.col("cols"))).filter("cols IS NOT NULL").select(*like, "m", F.array_sort("cols").alias("cols"))
+    # runs of neighbouring columns: [first, last]
+    first = F.filter(F.col("cols"), lambda c: ~F.array_contains("cols", c - 1))
+    last = F.filter(F.col("cols"), lambda c: ~F.array_contains("cols", c + 1))
+    runs = stored(again.select(*like, "m", F.arrays_zip(first.alias("a"), last.alias("b")).alias("runs")), "runs")
+    hits = hot_join(warm.drop("n"), runs, like, "m", warm.count())
+    out = hits.select("rid", "r2", "pos", F.explode("runs").alias("x")).select("rid", "r2", (F.col("pos") - SIDE + F.col("x.a")).alias("a"), (F.col("pos") - SIDE + F.col("x.b")).alias("b"))
+    forget(wide, classes)
+    return solved.unionByName(out)
 
 
 def _removed(starts: list[int] | None, lasts: list[int] | None, n: int) -> list[tuple[int, int]]:

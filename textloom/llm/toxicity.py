@@ -8,7 +8,9 @@ identity term in a sampled sentence, the sentence is rewritten with every other
 term of its group and without the term, and squared score changes between the
 two are added to the loss.  So a term cannot carry a score by itself, and
 neutral mentions of groups stay clean; each pair of terms counts once at least,
-even if no sampled sentence has them.
+even if no sampled sentence has them.  Swaps that change the same features are
+summed up before they reach the driver: a term has at most four features, so a
+pair of terms has at most 256 such rows, however long the texts are.
 
 The candidate features come from counts over the whole sample (distributed);
 the ``MAX_FEATURES`` most telling ones are fitted on the driver by proximal
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, held_out, table, text_bytes
+from textloom.llm.common import bounded_batches, forget, held_out, stored, table, text_bytes
 
 MAX_TOXIC = 6_000
 MAX_CLEAN = 9_000
@@ -138,19 +140,26 @@ def _pairs(text: str) -> Iterator[tuple[set[str], set[str]]]:
 
 
 def _encoded(index: dict[str, int]):
+    """Features of each text (y is its label), and the feature changes of its swaps (y is -1), with how often they are meant."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int32())
         for b in batches:
-            ys, plus, minus = [], [], []
+            ys, plus, minus, n = [], [], [], []
+            swaps: Counter = Counter()
             for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 ys.append(y)
                 plus.append(sorted(index[f] for f in _features(words(text)) & index.keys()))
                 minus.append([])
+                n.append(1)
                 for gone, come in _pairs(text or ""):
-                    ys.append(-1)
-                    plus.append(sorted(index[f] for f in come & index.keys()))
-                    minus.append(sorted(index[f] for f in gone & index.keys()))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(plus, kind), pa.array(minus, kind)], ["y", "plus", "minus"])
+                    swaps[tuple(sorted(index[f] for f in come & index.keys())), tuple(sorted(index[f] for f in gone & index.keys()))] += 1
+            for (come, gone), k in swaps.items():
+                ys.append(-1)
+                plus.append(list(come))
+                minus.append(list(gone))
+                n.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(plus, kind), pa.array(minus, kind), pa.array(n, pa.int64())], ["y", "plus", "minus", "n"])
 
     return run
 
@@ -171,28 +180,30 @@ class _Rows:
         return np.bincount(self.col, self.val * r[self.row], self.shape[1])
 
 
-def fit(x: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[int]]], n: int, pair_weight: float = PAIR_WEIGHT) -> tuple[float, np.ndarray]:
-    """Bias and weights: logistic loss + L1 + L2 + the mean squared score change of ``swaps``."""
+def fit(x: list[list[int]], y: np.ndarray, swaps: list[tuple[list[int], list[int], float]], n: int, pair_weight: float = PAIR_WEIGHT, often: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Bias and weights: logistic loss + L1 + L2 + the mean squared score change of ``swaps`` (added, taken, how often); ``often`` weighs the rows."""
     rows = _Rows(x, n)
-    pairs = _Rows([a + b for a, b in swaps], n, [[1] * len(a) + [-1] * len(b) for a, b in swaps]) if swaps else None
-    w, b = np.zeros(n), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    pairs = _Rows([[*a, *b] for a, b, _ in swaps], n, [[1] * len(a) + [-1] * len(b) for a, b, _ in swaps]) if swaps else None
+    share = np.array([k for _, _, k in swaps], float) / sum(k for _, _, k in swaps) * pair_weight if swaps else None
+    part = np.full(len(y), 1 / len(y)) if often is None else often / often.sum()
+    mean = float(part @ y)
+    w, b = np.zeros(n), float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
     v, c, t = w.copy(), b, 1.0
-    m = len(y)
     # step: one over a bound of the curvature, by power iteration
     u = np.ones(n)
     for _ in range(15):
-        u = rows.back(rows.dot(u)) / (4 * m) + (pair_weight * pairs.back(pairs.dot(u)) / len(swaps) if pairs else 0)
+        u = rows.back(part * rows.dot(u)) / 4 + (pairs.back(share * pairs.dot(u)) if pairs else 0)
         size = np.linalg.norm(u)
         u /= size or 1
     step = 1 / (1.5 * size + 0.25 + L2)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(rows.dot(v) + c, -60, 60)))
-        g = rows.back(p - y) / m + L2 * v
+        g = rows.back(part * (p - y)) + L2 * v
         if pairs:
-            g += pair_weight * pairs.back(pairs.dot(v)) / len(swaps)
+            g += pairs.back(share * pairs.dot(v))
         w2 = v - step * g
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * L1, 0)
-        b2 = c - step * float((p - y).mean())
+        b2 = c - step * float(part @ (p - y))
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
@@ -203,12 +214,12 @@ def train(docs: DataFrame, labels: DataFrame, split: bool = True, pair_weight: f
     """With ``split`` from rows only whose crc32(doc_id as text) mod 5 is not 0."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sample = _sample(docs, labels, split).persist()
+    sample = stored(_sample(docs, labels, split), "labelled")
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         share = min(max(toxic / max(1, clean + toxic), 1e-6), 1 - 1e-6)
-        sample.unpersist()
+        forget(sample)
         return Model(math.log(share / (1 - share)))
     a, b = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
     telling = F.abs(F.log(a / b)) * F.abs(a - b)
@@ -216,15 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, split: bool = True, pair_weight: f
     best = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_SUPPORT).orderBy(telling.desc(), "feature").limit(MAX_FEATURES).select("feature").collect()
     names = sorted({r.feature for r in best} | {f for t in _GROUP for f in _features({t})})
     index = {f: i for i, f in enumerate(names)}
-    rows = sample.mapInArrow(_encoded(index), "y int, plus array<int>, minus array<int>").collect()
-    sample.unpersist()
+    # equal rows are one with a count: at most MAX_TOXIC + MAX_CLEAN texts, and a bounded number of swaps
+    rows = sample.mapInArrow(_encoded(index), "y int, plus array<int>, minus array<int>, n long").groupBy("y", "plus", "minus").agg(F.sum("n").alias("n")).collect()
+    forget(sample)
     rows.sort(key=lambda r: (r.y, r.plus, r.minus))
-    swaps = [(r.plus, r.minus) for r in rows if r.y < 0]
+    swaps = [(r.plus, r.minus, float(r.n)) for r in rows if r.y < 0]
     for t, group in _GROUP.items():  # each pair once at least
         for other in (*(g for g in group if g > t), None):
-            swaps.append(([index[f] for f in _features({other})] if other else [], [index[f] for f in _features({t})]))
-    x = [(r.plus, r.y) for r in rows if r.y >= 0]
-    bias, w = fit([p for p, _ in x], np.array([y for _, y in x], float), swaps, len(names), pair_weight)
+            swaps.append(([index[f] for f in _features({other})] if other else [], [index[f] for f in _features({t})], 1.0))
+    known = [r for r in rows if r.y >= 0]
+    bias, w = fit([r.plus for r in known], np.array([r.y for r in known], float), swaps, len(names), pair_weight, np.array([r.n for r in known], float))
     return Model(bias, {f: float(w[i]) for f, i in index.items() if w[i]})
 
 
