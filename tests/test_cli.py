@@ -44,6 +44,19 @@ def call(spark, *argv):
         (["--sortr", "path", "-l", "alpha"], ["src/m.py", "b.txt", "a.txt"]),
         (["-n", "-A1", "-B0", "beta gam"], ["a.txt:2:beta gamma"]),
         (["nothing"], []),
+        (["--heading", "-n", "beta"], ["a.txt", "1:alpha beta", "2:beta gamma"]),
+        (["--heading", "-N", "alpha"], ["a.txt", "alpha beta", "", "b.txt", "delta alpha", "", "src/m.py", "x = 'alpha'"]),
+        (["-n", "--field-match-separator", "=", "--field-context-separator", "\\t", "-A1", "alpha beta"], ["a.txt=1=alpha beta", "a.txt\t2\tbeta gamma"]),
+        (["-I", "-v", "--context-separator", "~~", "-B0", "-e", "q"], ["alpha beta", "beta gamma", "delta alpha", "x = 'alpha'", "foo123bar"]),
+        (["-I", "-H", "gamma"], ["a.txt:beta gamma"]),
+        (["--column", "-b", "gamma"], ["a.txt:2:6:11:beta gamma"]),
+        (["--color", "always", "-I", "gamma"], ["beta \x1b[0m\x1b[1;31mgamma\x1b[0m"]),
+        (["--color=always", "--colors=match:none", "--colors=path:fg:blue", "gamma"], ["\x1b[0m\x1b[34ma.txt\x1b[0m:beta gamma"]),
+        (["--color=never", "--hyperlink-format=file", "gamma"], ["a.txt:beta gamma"]),
+        (["--binary", "-c", "alpha"], ["a.txt:1", "b.txt:1", "n.bin:1", "src/m.py:1"]),
+        (["--binary", "alpha"], ["a.txt:alpha beta", "b.txt:delta alpha", 'n.bin: binary file matches (found "\\0" byte around offset 5)', "src/m.py:x = 'alpha'"]),
+        (["--pre", "tr a-z A-Z <", "--pre-glob", "*.none", "gamma"], ["a.txt:beta gamma"]),
+        (["--one-file-system", "--sort-files", "-l", "alpha"], ["a.txt", "b.txt", "src/m.py"]),
     ],
 )
 def test_output(spark, tree, flags, want):
@@ -60,13 +73,18 @@ def test_errors_and_texts(spark, tree):
     assert call(spark, "--version")[0] == 0 and len(call(spark, "--type-list")[1]) == 213
     assert any('"type":"match"' in r for r in call(spark, "--json", "gamma", tree)[1])
     assert call(spark, "--stats", "gamma", tree)[1][1:3] == ["1 matches", "1 matched lines"]
+    assert call(spark, "--stats", "gamma", tree)[1][-1] == "17 bytes printed"
+    for bad in (["--color", "odd"], ["--colors", "match:fg:mauve"], ["--sort", "size"], ["--hyperlink-format", "{nope}", "--color=always"]):
+        assert call(spark, *bad, "gamma", tree)[0] == 2
+    assert len(call(spark, "--color=always", "--hyperlink-format=file", "gamma", tree)[1][0].split("\x1b]8;;")) == 3
+    assert call(spark, "--sort", "created", "-l", "beta", tree) == call(spark, "--sortr", "accessed", "-l", "beta", tree) == (0, ["a.txt"])
 
 
 def test_every_flag_parses():
     for name in cli.PLAIN:
         cli.parse([f"--{name}", "x"])
     for name in cli.VALUED:
-        if name != "file":
+        if name not in ("file",):
             cli.parse([f"--{name}", "1", "x"])
             cli.parse([f"--{name}=1", "x"])
     a = cli.parse(["-inC2", "-e", "p", "--crlf", "--null-data", "dir"])

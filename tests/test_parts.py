@@ -13,7 +13,7 @@ from textloom.operators import analytics, output, select
 from textloom.operators.index import IndexOptions
 from textloom.operators.select import Selection
 from textloom.plans import generate, tuning
-from textloom.plans.pattern import PatternOptions
+from textloom.plans.pattern import Engine, PatternOptions
 from textloom.sources import corpus as store
 from textloom.streaming import watch
 
@@ -119,7 +119,14 @@ def test_snapshots_and_changes(spark, tmp_path):
     again = store.renumbered(out)
     assert sorted((r.path, r.file_id) for r in again.collect()) == [("b", 0), ("c", 1), ("d", 2)]
     (tmp_path / "s/.tmp.x").write_text("")
-    assert store.clean_orphans(where) == 1
+    assert store.clean_orphans(spark, where) == 1
+    for n in range(3):
+        store.add_segment(spark, where, store.from_documents(spark, [("b", "x" * n), ("e", str(n))]), gone if n else gone.limit(0), f"segment-{min(n, 1)}")
+    assert sorted((r.path, r.text) for r in store.load(spark, where).collect()) == [("b", "xx"), ("c", "333"), ("e", "2")]
+    store.save(store.load(spark, where), where)
+    store.save(store.load(spark, where), where)
+    assert store.clean_orphans(spark, where) >= 1
+    assert store.load(spark, where).count() == 3
     assert store.compaction_due(65, 0, 1) and store.compaction_due(1, 26, 100) and not store.compaction_due(64, 25, 100)
 
 
@@ -144,9 +151,11 @@ def test_analytics(spark):
     assert (p.files, p.bytes, p.duplicates, p.min_size) == (3, 4, 1, 0)
     assert analytics.corpus_profile(c.limit(0)).first().files == 0
     m = spark.createDataFrame([(i, float(i % 7), float((i * 5) % 11), float(i % 3)) for i in range(60)], "k long, a double, b double, c double")
+    many = m.unionByName(spark.createDataFrame([(100, None, 0.0, 0.0), (101, float("nan"), 0.0, 0.0)], m.schema))
     rows = [tuple(x) for x in m.collect()]
     want = {x[0] for x in rows if not any(all(p <= q for p, q in zip(y[1:], x[1:], strict=True)) and y[1:] != x[1:] for y in rows)}
-    assert {x.k for x in analytics.pareto_frontier(m, ["a", "b", "c"], 3).collect()} == want
+    for block in (3, 20_000):  # many left: a block of them at a time
+        assert {x.k for x in analytics.pareto_frontier(many, ["a", "b", "c"], block).collect()} == want
 
 
 def test_regret(spark):
@@ -207,3 +216,58 @@ def test_text_functions(spark):
     rows = df.select(output.trimmed(F.col("t")), output.limited_width(F.col("t"), 8), output.limited_width(F.col("t"), 8, True)).collect()
     assert tuple(rows[0]) == ("long line here", output.OMITTED, "  \tlong  [... omitted end of long line]")
     assert tuple(rows[1]) == ("short", "short", "short")
+
+
+def test_regions_find_the_same(spark):
+    from textloom.operators import regions, search
+    from textloom.plans.pattern import compile_pattern
+
+    texts = ["xx und é the " + "y" * 3000 + "ü und the" + "é" * 500 + "the und" + "é" * 30 + "the", "", "und the", "theund" * 40, "und" * 50 + "the"]
+    c = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "file_id long, text string")
+    for source in ("und.{0,40}the", "(a|é)?the{1,2}u", "the", r"\bund\b.{1,3}(the|é)", "[a-z]+the", "und(?=.the)"):
+        p = compile_pattern(source, PatternOptions(multiline=True, dotall=True, engine=Engine.AUTO))
+        same = sorted((r.file_id, r.start, r.end) for r in search.find(c, [p]).collect())
+        assert sorted(map(tuple, regions.find(c, p).collect())) == same, source
+    p = compile_pattern("und.{0,40}the", PatternOptions(multiline=True, dotall=True))
+    seen = regions.coverage(c, p).first()
+    assert seen.files == len(texts) and seen.region_bytes < seen.bytes / 2
+
+
+def test_lines_of_multiline_spans(spark):
+    """Lines that a span touches, and where it begins, with several patterns and empty matches."""
+    from textloom.operators import search
+    from textloom.operators.search import Request
+
+    c = spark.createDataFrame([(1, "ab\ncd\n\nef"), (2, ""), (3, "b\nc")], "file_id long, text string")
+    rows = lambda *s: sorted((r.file_id, r.line_no) for r in search.selected_lines(c, Request.of(*s, multiline=True)).collect())
+    assert rows(r"b\nc") == [(1, 1), (1, 2), (3, 1), (3, 2)]
+    assert rows(r"b\nc", r"\n\ne") == [(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (3, 2)]
+    n = {r.file_id: r.n for r in search.count_matches(c, Request.of(r"b\nc", r"d", r"\n", multiline=True)).collect()}
+    assert n == {1: 5, 3: 2}
+
+
+def test_cancelled_searches(spark):
+    from textloom.api import Index, Searcher, SearchOptions, compile_pattern
+
+    s = Searcher(Index.from_documents(spark, [(f"{i}", "a b a") for i in range(50)]))
+    p = compile_pattern("a")
+    assert len(s.collected(p)) == len(s.collected(p, SearchOptions(should_cancel=lambda: False))) == 100
+    assert s.collected(p, SearchOptions(should_cancel=lambda: True)) == []
+    asked = iter(range(10**6))
+    assert s.collected(p, SearchOptions(should_cancel=lambda: next(asked) > 5)) == []
+    assert s.find(p, SearchOptions(scope=(1, 3))).count() == 4
+
+
+def test_other_sources(spark, tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "a.txt.lz4").write_bytes(pa.compress(b"packed", "lz4", asbytes=True))
+    (tmp_path / "b.txt").write_text("plain")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/c.md").write_text("deep")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        got = {r.path: r.text for r in store.scan(spark, root, archives=True, pre=lambda _, b: b + b"!", pre_globs=("*.md",)).collect()}
+        assert got == {"a.txt.lz4": "packed", "b.txt": "plain", "sub/c.md": "deep!"}
+    assert [p for p, _, _ in store.list_files(str(tmp_path), one_device=True)] == ["a.txt.lz4", "b.txt", "sub/c.md"]
+    timed = store.with_times(store.scan(spark, str(tmp_path)).select("path", "size"), str(tmp_path))
+    assert all(r.atime_ns > 0 and r.ctime_ns > 0 for r in timed.collect())

@@ -46,9 +46,9 @@ def test_pattern_file_short_needles(spark, tables, monkeypatch, limit):
 
 
 def test_base64_of_long_texts(spark, tables):
-    want = [(i, len(b), base64.b64encode(b).decode()) for i, t in enumerate(TEXTS) for b in [(t or "").encode()]]
-    same_rows(queries.base64_whole_texts(spark, tables), want)
-    assert sorted(oracle(tables, "base64_whole_texts")) == want
+    want = [(i, base64.b64encode(b"\xff" + (t or "").encode()).decode(), None) if i % 2 == 0 else (i, None, t or "") for i, t in enumerate(TEXTS)]
+    same_rows(queries.base64_payload(spark, tables), want)
+    assert sorted(oracle(tables, "base64_payload")) == want
 
 
 @pytest.mark.parametrize("held", [2_000_000, 30])
@@ -66,17 +66,17 @@ def test_qgrams_of_documents(spark, tables, monkeypatch, held):
             chunks.update(set(grams[at : at + 4096 + 128 - 3]))
     want = [(g, n[g], chunks[g], docs[g]) for g in n]
     assert chunks != docs and any(g.startswith("C3A9") for g in n)
-    same_rows(queries.qgram_stats_documents(spark, tables), want)
+    same_rows(queries.qgram_stats(spark, tables), want)
     if held > 30:
-        for name in ("rarity_plan_documents", "qgram_entropy_documents"):
+        for name in ("rarity_plan", "qgram_entropy"):
             same_rows(queries.QUERIES[name](spark, tables), oracle(tables, name))
-        assert sorted(oracle(tables, "qgram_stats_documents")) == sorted(want)
+        assert sorted(oracle(tables, "qgram_stats")) == sorted(want)
 
 
 def test_all_files_are_sorted(spark, tmp_path):
     docs = [(i, "a license" if i % 3 else "none", "en", f"src{i * 7 % 5}", 9) for i in range(90)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    out = queries.all_sorted_by_path_desc(spark, str(tmp_path))
+    out = queries.sort_by_path_desc(spark, str(tmp_path))
     paths = [r.path for r in out.collect()]
     assert len(paths) == 60 and paths == sorted(paths, reverse=True)
     assert "TakeOrdered" not in out._jdf.queryExecution().executedPlan().toString()

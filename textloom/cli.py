@@ -9,11 +9,12 @@ collected at once.  Exit code 0: a match, 1: none, 2: an error.
 from __future__ import annotations
 
 import os
+import re
 import shlex
 import sys
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.filetypes import TYPES
@@ -45,9 +46,11 @@ PLAIN = {
     "json": "", "line-buffered": "", "line-number": "n", "no-line-number": "N", "line-regexp": "x", "max-columns-preview": "", "mmap": "", "multiline": "U", "multiline-dotall": "", "no-config": "", "no-filename": "I", "with-filename": "H",
     "no-ignore": "", "no-ignore-dot": "", "no-ignore-exclude": "", "no-ignore-files": "", "no-ignore-global": "", "no-ignore-parent": "", "no-ignore-vcs": "", "no-messages": "", "no-pcre2-unicode": "", "no-require-git": "", "no-unicode": "",
     "null": "0", "null-data": "", "one-file-system": "", "only-matching": "o", "passthru": "", "pcre2": "P", "pcre2-version": "", "pretty": "p", "quiet": "q", "search-zip": "z", "smart-case": "S", "sort-files": "", "stats": "",
-    "stop-on-nonmatch": "", "text": "a", "trace": "", "trim": "", "type-list": "", "unicode": "", "unrestricted": "u", "version": "V", "vimgrep": "", "word-regexp": "w", "ignore-messages": "", "messages": "",
+    "stop-on-nonmatch": "", "text": "a", "trace": "", "trim": "", "type-list": "", "unicode": "", "unrestricted": "u", "version": "V", "vimgrep": "", "word-regexp": "w", "ignore-messages": "", "messages": "", "no-heading": "", "no-context-separator": "",
 }
 _SHORT = {s: k for t in (VALUED, PLAIN) for k, s in t.items() if s}
+#: A flag takes back another.
+_PAIRS = (("with-filename", "no-filename"), ("no-filename", "with-filename"), ("heading", "no-heading"), ("no-heading", "heading"), ("line-number", "no-line-number"), ("no-line-number", "line-number"), ("no-context-separator", "context-separator"))
 _MODES = ("count", "count-matches", "files-with-matches", "files-without-match", "files", "json", "vimgrep")
 
 
@@ -82,12 +85,23 @@ def parse(argv: list[str]) -> Arguments:
     def take(name: str, value: str | None) -> None:
         if value is not None:
             a.values.setdefault(name, []).append(value)
+            if name == "context-separator":
+                a.on.pop("no-context-separator", None)
             return
         a.on[name] = a.on.get(name, 0) + 1
         if name in _MODES and not (a.mode == "files" and name != "files"):
             a.mode = name
         a.case = {"ignore-case": Case.INSENSITIVE, "case-sensitive": Case.SENSITIVE, "smart-case": Case.SMART}.get(name, a.case)
         a.bounds = {"word-regexp": "word", "line-regexp": "line"}.get(name, a.bounds)
+        for one, other in _PAIRS:
+            if name == one:
+                a.on.pop(other, None)
+                a.values.pop(other, None)
+        if name == "pretty":
+            a.on |= {"heading": 1, "line-number": 1}
+            a.values.setdefault("color", []).append("always")
+        if name == "sort-files":
+            a.values.setdefault("sort", []).append("path")
         if name == "null-data":
             a.on.pop("crlf", None)
         if name == "crlf":
@@ -220,23 +234,63 @@ def selection(root: str, selectors: tuple[tuple[str, bool], ...], a: Arguments)
     return Selection(selectors, "hidden" in a.on or free >= 2, tuple(a.values.get("glob", [])), tuple(a.values.get("iglob", [])), "glob-case-insensitive" in a.on, tuple(a.values.get("type", [])), tuple(a.values.get("type-not", [])), tuple(a.values.get("type-add", [])), tuple(a.values.get("type-clear", [])), ignore_rules(root, a), a.number("max-depth"), size_bytes(size) if size else None)
 
 
-def corpus(spark: SparkSession, a: Arguments) -> DataFrame:
+def unescaped(text: str) -> str:
+    """Separators may hold \\n, \\t, \\r, \\0, \\\\ and \\xNN."""
+    plain = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "\\": "\\"}
+    return re.sub(r"\\(x[0-9A-Fa-f]{2}|[ntr0\\])", lambda m: chr(int(m[1][1:], 16)) if m[1][0] == "x" else plain[m[1]], text)
+
+
+def style(a: Arguments) -> output.Style:
+    when = a.last("color", "auto")
+    if when not in ("auto", "always", "ansi", "never"):
+        raise UsageError(f"--color can't be {when}")
+    # what is written is a stream of rows, so auto is never
+    painted = output.colours(a.values.get("colors", [])) if when in ("always", "ansi") else ()
+    output.colours(a.values.get("colors", []))  # bad ones are errors anyway
+    gap = None if "no-context-separator" in a.on else unescaped(a.last("context-separator", "--"))
+    return output.Style(unescaped(a.last("field-match-separator", ":")), unescaped(a.last("field-context-separator", "-")), gap, painted)
+
+
+def corpus(spark: SparkSession, a: Arguments) -> tuple[DataFrame, DataFrame | None]:
+    """What is searched, and binary files that only say whether they match (``--binary``)."""
     root, selectors = common_root(a.paths)
     pre = a.last("pre")
     if pre:
         shlex.split(pre)
-    found = store.scan(spark, root, True, "follow" in a.on, pre, "search-zip" in a.on, a.last("encoding") or "auto")
+    found = store.scan(spark, root, True, "follow" in a.on, pre, "search-zip" in a.on, a.last("encoding") or "auto", tuple(a.values.get("pre-glob", [])), "one-file-system" in a.on)
     chosen = choose(found, selection(root, selectors, a))
-    whole = "text" in a.on or "binary" in a.on or a.on.get("unrestricted", 0) >= 3
-    return chosen if whole else chosen.filter(~F.col("binary"))
-
-
-def shown(c: DataFrame, r: Request, a: Arguments) -> DataFrame:
+    if (a.last("sort") or a.last("sortr")) in ("accessed", "created"):
+        chosen = store.with_times(chosen, root)
+    if "text" in a.on:
+        return chosen, None
+    told = "binary" in a.on or a.on.get("unrestricted", 0) >= 3
+    if told and a.mode in ("", "vimgrep"):
+        return chosen.filter(~F.col("binary")), chosen.filter("binary")
+    return (chosen if told else chosen.filter(~F.col("binary"))), None
+
+
+def _binary_rows(c: DataFrame, r: Request, name: Column | None) -> DataFrame:
+    """A line for each binary file that matches."""
+    hit = search.files_with(c, r).select("path", "content", *([name.alias("_n")] if name is not None else []))
+    pairs = F.split(F.regexp_replace(F.hex("content"), "(..)", "$1 "), " ")
+    at = F.array_position(pairs, "00") - 1
+    text = F.concat(F.lit('binary file matches (found "\\0" byte around offset '), at.cast("string"), F.lit(")"))
+    return hit.select("path", F.lit(-1).cast("bigint").alias("order"), (F.concat(F.col("_n"), F.lit(": "), text) if name is not None else text).alias("row"))
+
+
+def shown(c: DataFrame, r: Request, a: Arguments, heading: bool = False) -> DataFrame:
     """path, order, row: what is printed, in the order of the first two."""
-    on, sep = a.on, "\0" if "null" in a.on else ":"
-    names = c.select("file_id", "path")
+    on, look = a.on, style(a)
     path = F.replace("path", F.lit("/"), F.lit(a.last("path-separator"))) if a.last("path-separator") else F.col("path")
-    prefix = F.lit("") if "no-filename" in on else F.concat(path, F.lit(sep))
+    path = look.paint("path", path)
+    link = a.last("hyperlink-format", "none")
+    if link != "none":
+        linked = output.hyperlink(F.concat(F.lit(common_root(a.paths)[0] + "/"), F.col("path")), path, link)
+        path = linked if look.colours else path  # links go with colours
+    sep = "\0" if "null" in on else look.match_separator
+    bare = "no-filename" in on or heading
+    names = c.select("file_id", "path")
+    prefix = F.lit("") if bare else F.concat(path, F.lit(sep))
     at = lambda df, order, row: df.join(names, "file_id").select("path", order.alias("order"), F.concat(prefix, row).alias("row"))
     zero = F.lit(0).cast("bigint")
     if a.mode in ("files-with-matches", "files-without-match"):
@@ -249,20 +303,35 @@ def shown(c: DataFrame, r: Request, a: Arguments) -> DataFrame:
     if "only-matching" in on or a.mode == "vimgrep":
         df = output.vimgrep(c, r) if a.mode == "vimgrep" else output.only_matching(c, r)
         body = F.col("line") if a.mode == "vimgrep" else search.replaced(F.col("text"), r.patterns[0], a.last("replace")) if a.last("replace") else F.col("text")
+        body = look.matches(body, r.patterns) if a.mode == "vimgrep" else look.paint("match", body)
         parts = []
         if a.mode == "vimgrep" or "line-number" in on or "column" in on:
-            parts.append(F.col("line_no").cast("string"))
+            parts.append(look.paint("line", F.col("line_no").cast("string")))
         if a.mode == "vimgrep" or "column" in on:
-            parts.append(F.col("column").cast("string"))
+            parts.append(look.paint("column", F.col("column").cast("string")))
         if "byte-offset" in on and a.mode != "vimgrep":
             parts.append(F.col("offset").cast("string"))
-        return at(df, F.col("line_no") * (1 << 20) + F.col("column"), F.concat_ws(":", *parts, body))
-    df = output.standard(c, r, "line-number" in on and "no-line-number" not in on, "trim" in on, a.number("max-columns"), "max-columns-preview" in on, a.last("replace"))
-    return at(df, F.col("line_no"), F.col("shown"))
+        return at(df, F.col("line_no") * (1 << 20) + F.col("column"), F.concat_ws(look.match_separator, *parts, body))
+    number = ("line-number" in on or "column" in on) and "no-line-number" not in on
+    if "null" in on and not bare:
+        df = output.standard(c, r, number, "trim" in on, a.number("max-columns"), "max-columns-preview" in on, a.last("replace"), look, None, "column" in on, "byte-offset" in on)
+        return at(df, F.col("line_no"), F.col("shown"))
+    df = output.standard(c, r, number, "trim" in on, a.number("max-columns"), "max-columns-preview" in on, a.last("replace"), look, None if bare else path, "column" in on, "byte-offset" in on)
+    return df.join(names, "file_id").select("path", F.col("line_no").alias("order"), F.col("shown").alias("row"))
+
+
+_TIMES = {"modified": "mtime_ns", "accessed": "atime_ns", "created": "ctime_ns"}
 
 
 def run(spark: SparkSession, argv: list[str], out=None) -> int:
     out = out or sys.stdout
+    printed = 0
+
+    def say(row: str) -> None:
+        nonlocal printed
+        printed += len(row.encode("utf-8", "replace")) + 1
+        print(row, file=out)
+
     try:
         a = parse(argv)
         if "version" in a.on or "help" in a.on or "pcre2-version" in a.on:
@@ -272,32 +341,42 @@ def run(spark: SparkSession, argv: list[str], out=None) -> int:
             for name in sorted(TYPES):
                 print(f"{name}: {', '.join(TYPES[name])}", file=out)
             return 0
-        c = corpus(spark, a)
+        look, by = style(a), a.last("sort") or a.last("sortr") or "path"
+        if by not in ("path", "none", *_TIMES):
+            raise UsageError(f"can't sort by {by}")
+        c, quiet_ones = corpus(spark, a)
         if a.mode == "files":
-            rows = output.sorted_files(c.select("path", "mtime_ns"), a.last("sort") or a.last("sortr") or "path", bool(a.last("sortr")))
+            rows = output.sorted_files(c.select("path", *([_TIMES[by]] if by in _TIMES else [])), "path" if by == "none" else by, bool(a.last("sortr")))
             n = 0
             for r in rows.toLocalIterator():
-                print(r.path, file=out)
+                say(r.path)
                 n += 1
             return 0 if n else 1
         r = request(a)
         if not r.patterns:
             return 1
         if "quiet" in a.on:
-            return 1 if search.files_with(c, r, a.mode == "files-without-match").limit(1).isEmpty() else 0
-        rows, by = shown(c, r, a), a.last("sort") or a.last("sortr") or "path"
-        order = F.col("path").desc() if a.last("sortr") == "path" else F.col("path")
-        if by == "modified":
-            rows = rows.join(c.select("path", "mtime_ns"), "path")
-            order = F.col("mtime_ns").desc() if a.last("sortr") else F.col("mtime_ns")
-        elif by not in ("path", "none"):
-            raise UsageError(f"can't sort by {by}")
-        n = 0
-        for x in rows.orderBy(order, "path", "order").toLocalIterator():
-            print(x.row, file=out)
+            every = c if quiet_ones is None else c.unionByName(quiet_ones)
+            return 1 if search.files_with(every, r, a.mode == "files-without-match").limit(1).isEmpty() else 0
+        heading = "heading" in a.on and "no-filename" not in a.on and a.mode == ""
+        rows = shown(c, r, a, heading)
+        if quiet_ones is not None:
+            rows = rows.unionByName(_binary_rows(quiet_ones, r, None if heading or "no-filename" in a.on else F.col("path")))
+        order = F.col("path")
+        if by in _TIMES:
+            every = c if quiet_ones is None else c.unionByName(quiet_ones)
+            rows, order = rows.join(every.select("path", _TIMES[by]), "path"), F.col(_TIMES[by])
+        n, last = 0, None
+        for x in rows.orderBy(order.desc() if a.last("sortr") else order, "path", "order").toLocalIterator():
+            if heading and x.path != last:
+                if last is not None:
+                    say("")
+                say(spark.range(1).select(look.paint("path", F.lit(x.path))).first()[0] if look.colours else x.path)
+                last = x.path
+            say(x.row)
             n += 1
         if "stats" in a.on:
-            for k, v in search.stats(c, r).first().asDict().items():
+            for k, v in (search.stats(c, r).first().asDict() | {"bytes_printed": printed}).items():
                 print(f"{v} {k.replace('_', ' ')}", file=out)
         return 0 if n else 1
     except (UsageError, PatternError, ValueError, OSError) as e:

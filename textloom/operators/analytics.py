@@ -38,6 +38,29 @@ def corpus_profile(corpus: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), zero).alias("files"), F.coalesce(F.sum("b"), zero).alias("bytes"), F.coalesce(F.min("low"), zero).alias("min_size"), F.coalesce(F.max("high"), zero).alias("max_size"), F.coalesce(F.sum("b") / F.sum("n"), F.lit(0.0)).alias("mean_size"), F.coalesce(F.sum("n") - F.count(F.lit(1)), zero).alias("duplicates"), F.coalesce(F.sum("z"), zero).alias("binaries"))
 
 
+SAMPLE_BYTES, SAMPLED_BYTES, MOST_GRAMS = 8 << 10, 128 << 10, 50_000
+
+
+def sampled_profile(corpus: DataFrame, each: int = SAMPLE_BYTES, total: int = SAMPLED_BYTES, most: int = MOST_GRAMS) -> DataFrame:
+    """One row: sampled_bytes, bits (byte entropy) and unique_grams of a sample: the first ``each`` bytes of files in
+    the order of file_id, until ``total`` bytes; distinct four-byte strings are counted up to ``most``.
+
+    The limits are the feature: a quick look whose cost doesn't grow.  ``byte_entropy`` and ``qgram_stats`` take all.
+    """
+    # any total / each files of full size fill the sample; shorter ones are few bytes, so rows are read until it is full
+    head = corpus.select("file_id", F.substring(F.col("text").cast("binary"), 1, each).alias("b")).filter(F.octet_length("b") > 0)
+    w = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    few = head.orderBy("file_id").limit(total)  # at least a byte each
+    cut = few.withColumn("_at", F.coalesce(F.sum(F.octet_length("b")).over(w), F.lit(0))).filter(F.col("_at") < total)
+    sample = cut.select("file_id", F.substring("b", F.lit(1), (F.lit(total) - F.col("_at")).cast("int")).alias("b"))
+    one = F.explode(F.transform(F.sequence(F.lit(1), F.octet_length("b")), lambda i: F.substring("b", i, F.lit(1))))
+    bits = entropy(sample.select(one.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    grams = F.when(F.octet_length("b") >= Q, F.transform(F.sequence(F.lit(1), F.octet_length("b") - (Q - 1)), lambda i: F.substring("b", i, F.lit(Q)))).otherwise(F.array().cast("array<binary>"))
+    unique = sample.select(F.explode(grams).alias("g")).distinct().agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("unique_grams"))
+    size = sample.agg(F.coalesce(F.sum(F.octet_length("b")).cast("bigint"), F.lit(0).cast("bigint")).alias("sampled_bytes"))
+    return size.crossJoin(bits).crossJoin(unique)  # tables of one row each
+
+
 def duplicate_files(corpus: DataFrame) -> DataFrame:
     """first (smallest file_id), copies of every content that several files have."""
     return corpus.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("file_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("h")
@@ -53,6 +76,17 @@ def ranked(values: Column, p: float) -> Column:
     return F.get(F.sort_array(values), F.least((F.size(values) * p).cast("int"), F.size(values) - 1))
 
 
+def ranked_of_counts(counts: DataFrame, value: str, n: str, p: float, by: str) -> DataFrame:
+    """by, ranked: the same of a table of values with counts, by running sums: no group is an array.
+
+    Values are as few as distinct ones, so the window over a group sorts those and not the rows.
+    """
+    w = Window.partitionBy(by).orderBy(value)
+    run = counts.withColumn("_upto", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum(n).over(Window.partitionBy(by)))
+    rank = F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
+    return run.filter(F.col("_upto") > rank).groupBy(by).agg(F.min(value).alias("ranked"))
+
+
 def covered_bytes(ranges: DataFrame, key: str = "file_id") -> DataFrame:
     """key, n: length of the union of [start, end) ranges, by a running maximum of ends."""
     w = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,30 +111,65 @@ def within_limits(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     return df
 
 
-def pareto_frontier(df: DataFrame, metrics: list[str], groups: int = 64) -> DataFrame:
+#: Points that one task compares with each other, and that are broadcast at once.
+SKYLINE_BLOCK = 20_000
+
+
+def pareto_frontier(df: DataFrame, metrics: list[str], block: int = SKYLINE_BLOCK) -> DataFrame:
     """Rows that no other dominates: as low in all ``metrics`` and lower in one.
+    Rows with a null or NaN metric are compared with none and left out.
 
-    Distinct metric tuples of each of ``groups`` partitions are first thinned to
-    the partition's own skyline in one task each (a dominated row is dominated by
-    some skyline row), and only the skylines are compared with each other.
+    Distinct points of each partition are thinned to the partition's own skyline
+    (a dominated point is dominated by some point of a skyline).  Few that are left
+    are compared in one task; many are compared with all of them, a broadcast block
+    of at most ``block`` at a time, so no task ever holds them all.
     """
     import numpy as np
 
+    def points(b):
+        return np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(metrics))], 1)
+
     def local(batches):
         import pyarrow as pa
 
+        def batch(x):
+            return pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(len(metrics))], metrics)
+
         held = np.zeros((0, len(metrics)))
         for b in batches:
-            new = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(metrics))], 1)
+            new = points(b)
             for part in np.array_split(new, max(1, len(new) // 2000)):
                 both = np.unique(np.concatenate([held, part]), axis=0)
                 held = both[_undominated(both)]
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(len(metrics))], metrics)
-
-    points = df.select(*(F.col(m).cast("double").alias(m) for m in metrics)).distinct()
-    schema = ", ".join(f"{m} double" for m in metrics)
-    sky = points.repartition(groups).mapInArrow(local, schema).coalesce(1).mapInArrow(local, schema)
-    return df.join(sky, [df[m].cast("double").eqNullSafe(sky[m]) for m in metrics], "left_semi")
+                if len(held) > block:
+                    yield batch(held)  # thinned no further here
+                    held = held[:0]
+        yield batch(held)
+
+    def against(others):
+        def run(batches):
+            import pyarrow as pa
+
+            x = others.value
+            for b in batches:
+                keep = [not ((x <= p).all(1) & (x < p).any(1)).any() for p in points(b)]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    known = df.filter(" AND ".join(f"`{m}` IS NOT NULL AND NOT isnan(CAST(`{m}` AS DOUBLE))" for m in metrics))
+    schema = ", ".join(f"`{m}` double" for m in metrics)
+    sky = known.select(*(F.col(f"`{m}`").cast("double").alias(m) for m in metrics)).distinct().mapInArrow(local, schema).persist()
+    n = sky.count()
+    if n <= block:
+        best = sky.coalesce(1).mapInArrow(local, schema)
+    else:
+        best, parts = sky, -(-n // block)
+        numbered = sky.withColumn("_k", F.pmod(F.xxhash64(*(f"`{m}`" for m in metrics)), F.lit(parts))).persist()
+        for k in range(parts):
+            rows = np.array([tuple(r) for r in numbered.filter(F.col("_k") == k).drop("_k").toLocalIterator()], float).reshape(-1, len(metrics))
+            best = best.mapInArrow(against(df.sparkSession.sparkContext.broadcast(rows)), schema)
+    return known.join(best.distinct(), [known[m].cast("double").eqNullSafe(best[m]) for m in metrics], "left_semi")
 
 
 def _undominated(x):

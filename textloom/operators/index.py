@@ -10,6 +10,7 @@ search itself, so results never depend on the index.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,8 +162,9 @@ BUCKETS = 1 << 16
 
 
 def bucket_stats(found: DataFrame) -> DataFrame:
-    """Of ``postings``: bucket, chunks that have a string in the bucket."""
-    bucket = F.pmod(F.hash("gram"), F.lit(BUCKETS)).cast("bigint")
+    """Of ``postings``: bucket (multiplicative hash), chunks that have a string in the bucket."""
+    number = F.conv(F.hex("gram"), 16, 10).cast("bigint")
+    bucket = F.pmod(F.shiftright(number * 40503, 16), F.lit(BUCKETS))
     return found.select(bucket.alias("bucket"), "file_id", "chunk_no").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -212,6 +214,35 @@ def indexed_find(corpus: DataFrame, found: DataFrame, p: Pattern, o: IndexOption
     return search.find(corpus if some is None else corpus.join(some, "file_id", "left_semi"), [p], overlapping)
 
 
+def search_stats(corpus: DataFrame, found: DataFrame, blocks: DataFrame, p: Pattern, o: IndexOptions = IndexOptions()) -> DataFrame:
+    """One row on an indexed search for ``p``: candidate chunks, blocks and files, posting rows read (probe_rows),
+    bytes of candidate chunks with their overlap (touched_bytes), bytes of candidate files (verified_bytes), and matches.
+
+    Branches without a literal that the index knows make every chunk (and block) a candidate.
+    """
+    every = chunks(corpus, o)
+    literals = [p.pure] if p.pure is not None else branches(p.node) if p.node else []
+
+    def some(table: DataFrame, key: list[str]) -> DataFrame | None:
+        parts = [] if p.options.case.value == "insensitive" else [candidates(table, x, o) for x in literals]
+        return None if not parts or any(x is None for x in parts) else reduce(DataFrame.unionByName, parts).select(*key).distinct()
+
+    chunk, block = some(found, ["file_id", "chunk_no"]), some(blocks, ["file_id", "chunk_no", "block_no"])
+    hit = every if chunk is None else every.join(chunk, ["file_id", "chunk_no"], "left_semi")
+    zero = F.lit(0).cast("bigint")
+    a = hit.agg(F.count(F.lit(1)).alias("candidate_chunks"), F.count_distinct("file_id").alias("candidate_files"), F.coalesce(F.sum(F.col("ext_end") - F.col("core_begin")), zero).alias("touched_bytes"))
+    n = (blocks if block is None else block).select("file_id", "chunk_no", "block_no").distinct().agg(F.count(F.lit(1)).alias("candidate_blocks"))
+    grams = sorted({g for x in literals for g in query_grams(x)})
+    rows = found.filter(F.col("gram").isin([F.lit(g) for g in grams]) if chunk is not None else F.lit(False)).agg(F.count(F.lit(1)).alias("probe_rows"))
+    files = corpus.join(hit.select("file_id").distinct(), "file_id", "left_semi")
+    b = files.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), zero).alias("verified_bytes"))
+    m = search.find(files, [p]).agg(F.count(F.lit(1)).alias("matches"))
+    out = a
+    for one in (n, rows, b, m):  # tables of one row each
+        out = out.crossJoin(F.broadcast(one))
+    return out
+
+
 def memory_ledger(corpus: DataFrame, found: DataFrame, blocks: DataFrame, stats: DataFrame) -> DataFrame:
     """component, rows, bytes that the parts of an index hold."""
     one = lambda df, name, size: df.agg(F.lit(name).alias("component"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))

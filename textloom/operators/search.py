@@ -30,6 +30,12 @@ def _java_literal(s: str) -> str:
     return "".join(c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):X}}}" for c in s)
 
 
+def each(df: DataFrame, array: Column, *keep: str, name: str = "x") -> DataFrame:
+    """A row for each element.  A plain generator makes the optimizer infer that the array isn't empty, push that below the
+    projection and so compute the array twice; an outer one doesn't."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 # -- records ------------------------------------------------------------------
 
 
@@ -63,7 +69,7 @@ def line_array(text: Column, separator: str = "\n", crlf: bool = False) -> Colum
 
 def lines(corpus: DataFrame, separator: str = "\n", crlf: bool = False) -> DataFrame:
     """One row a record: file_id, line_no, begin, end, term_end, line."""
-    rows = corpus.select("file_id", F.explode(line_array(F.col("text"), separator, crlf)).alias("x"))
+    rows = each(corpus, line_array(F.col("text"), separator, crlf), "file_id")
     return rows.select("file_id", F.col("x.no").alias("line_no"), F.col("x.begin").alias("begin"), F.col("x.end").alias("end"), F.col("x.term_end").alias("term_end"), F.col("x.line").alias("line"))
 
 
@@ -134,13 +140,13 @@ def find(corpus: DataFrame, patterns: list[Pattern], overlapping: bool = False)
     for p in patterns:
         some = _candidates(corpus, [p])
         if whole_text(p):
-            spans = some.select("file_id", F.explode(span_array(F.col("text"), p, overlapping)).alias("s"))
+            spans = each(some, span_array(F.col("text"), p, overlapping), "file_id", name="s")
         else:
             o = p.options
             records = lines(some, o.separator, o.crlf)
             need = p.prefilter(F.col("line"))
             records = records.filter(F.col("line").rlike(p.java) if need is None else need & F.col("line").rlike(p.java))
-            spans = records.select("file_id", F.explode(span_array(F.col("line"), p, overlapping, F.col("begin"))).alias("s"))
+            spans = each(records, span_array(F.col("line"), p, overlapping, F.col("begin")), "file_id", name="s")
         parts.append(spans.select("file_id", "s.start", "s.end", "s.hit"))
     out = reduce(DataFrame.unionByName, parts)
     return out if len(parts) == 1 else out.dropDuplicates(["file_id", "start", "end"])
@@ -256,39 +262,77 @@ class Request:
 _LINE = "array<struct<no:bigint,begin:bigint,end:bigint,term_end:bigint,line:string,sel:boolean,hits:bigint>>"
 
 
-def _touched(x: Column, s: Column) -> Column:
-    """Whether a span touches a line; an empty one belongs to the line it lies in."""
-    inside = (s["start"] >= x["begin"]) & (s["start"] < x["term_end"])
-    return F.when(s["start"] == s["end"], inside).otherwise((s["start"] < x["term_end"]) & (s["end"] > x["begin"]))
+def _below(values: Column, at: Column) -> Column:
+    """For each element of the ascending ``at``, how many ``values`` are less: one sort of both together."""
+    events = F.sort_array(F.concat(F.transform(at, lambda x: F.struct(x.alias("pos"), F.lit(0).alias("value"))), F.transform(values, lambda x: F.struct(x.alias("pos"), F.lit(1).alias("value")))))
+
+    def counted(e: Column) -> Column:
+        def of(n: Column) -> Column:
+            return F.transform(F.filter(F.transform(e, lambda x, i: F.struct(x["value"].alias("value"), F.get(n, i).alias("n"))), lambda x: x["value"] == 0), lambda x: x["n"])
+
+        return once(running(F.transform(e, lambda x: x["value"])), of)
+
+    return once(events, counted)
+
+
+def _touches(lines_: Column, spans: Column) -> Column:
+    """Which lines a span touches, without looking at each pair: of the spans that begin before a line's end those are
+    left that don't end before it; an empty one belongs to the line it lies in."""
+    begins, ends = F.transform(lines_, lambda x: x["begin"]), F.transform(lines_, lambda x: x["term_end"])
+    full, empty = F.filter(spans, lambda s: s["end"] > s["start"]), F.filter(spans, lambda s: s["end"] == s["start"])
+    start = lambda a: F.transform(a, lambda s: s["start"])
+    parts = F.arrays_zip(
+        _below(start(full), ends).alias("a"), _below(F.transform(full, lambda s: s["end"]), F.transform(begins, lambda x: x + 1)).alias("b"), _below(start(empty), ends).alias("c"), _below(start(empty), begins).alias("d")
+    )
+    return F.transform(parts, lambda x: (x["a"] > x["b"]) | (x["c"] > x["d"]))
+
+
+def _begun(lines_: Column, spans: Column) -> Column:
+    """How many spans begin in each line."""
+    start = F.transform(spans, lambda s: s["start"])
+    parts = F.arrays_zip(_below(start, F.transform(lines_, lambda x: x["term_end"])).alias("a"), _below(start, F.transform(lines_, lambda x: x["begin"])).alias("b"))
+    return F.transform(parts, lambda x: x["a"] - x["b"])
 
 
-def selected(corpus: DataFrame, r: Request) -> DataFrame:
-    """``corpus`` with ``lines``: every record with ``sel`` and ``hits`` (matches that begin in it)."""
+def selected(corpus: DataFrame, r: Request, with_hits: bool = True) -> DataFrame:
+    """``corpus`` with ``lines``: every record with ``sel`` and, on request, ``hits`` (matches that begin in it)."""
     rec = [p for p in r.patterns if not whole_text(p) or p.pure is not None and r.separator not in p.pure]
     wide = [p for p in r.patterns if p not in rec]
     base = corpus.select("*", line_array(F.col("text"), r.separator, r.crlf).alias("_l"), *(span_array(F.col("text"), p).alias(f"_s{i}") for i, p in enumerate(wide)))
+    base = base.withColumns({f"_t{i}": _touches(F.col("_l"), F.col(f"_s{i}")) for i in range(len(wide))})
+    alone = with_hits and not rec
+    if alone:
+        bare = lambda i: F.transform(f"_s{i}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        base = base.withColumn("_h", _begun(F.col("_l"), F.array_distinct(F.concat(*(bare(i) for i in range(len(wide)))))) if wide else F.transform("_l", lambda x: F.lit(0).cast("bigint")))
 
-    def hit(x: Column) -> Column:
+    def hit(x: Column, z: Column) -> Column:
         tests = []
         for p in rec:
             need = p.prefilter(x["line"]) if p.pure is None else None
             test = F.contains(x["line"], F.lit(p.pure)) if p.pure is not None else x["line"].rlike(p.java)
             tests.append(test if need is None else need & test)
-        tests += [F.exists(f"_s{i}", lambda s: _touched(x, s)) for i in range(len(wide))]
+        tests += [z[f"_t{i}"] for i in range(len(wide))]
         return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
-    def hits(x: Column) -> Column:
+    def hits(x: Column, z: Column) -> Column:
+        if alone:
+            return z["_h"]
         if len(r.patterns) == 1 and rec:
             return F.regexp_count(x["line"], F.lit(rec[0].java)).cast("bigint")
         spans = [F.transform(span_array(x["line"], p, base=x["begin"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for p in rec]
         spans += [F.transform(F.filter(f"_s{i}", lambda s: (s["start"] >= x["begin"]) & (s["start"] < x["term_end"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for i in range(len(wide))]
         return F.size(F.array_distinct(F.concat(*spans))).cast("bigint") if spans else F.lit(0).cast("bigint")
 
-    def row(x: Column) -> Column:
-        sel = hit(x)
-        return F.struct(*(x[c].alias(c) for c in ("no", "begin", "end", "term_end", "line")), (~sel if r.invert else sel).alias("sel"), F.when(sel, hits(x)).otherwise(F.lit(0).cast("bigint")).alias("hits"))
+    def row(z: Column) -> Column:
+        x = z["_l"] if extra else z
+        sel, zero = hit(x, z), F.lit(0).cast("bigint")
+        n = F.when(sel, hits(x, z)).otherwise(zero) if with_hits else zero
+        return F.struct(*(x[c].alias(c) for c in ("no", "begin", "end", "term_end", "line")), (~sel if r.invert else sel).alias("sel"), n.alias("hits"))
 
-    out = base.withColumn("lines", F.transform("_l", row).cast(_LINE)).drop("_l", *(f"_s{i}" for i in range(len(wide))))
+    # what belongs to a line comes along with it: a column looked up inside the lambda may be computed for each line
+    extra = [*(f"_t{i}" for i in range(len(wide))), *(["_h"] if alone else [])]
+    zipped = F.arrays_zip("_l", *extra) if extra else F.col("_l")
+    out = base.withColumn("lines", F.transform(zipped, row).cast(_LINE)).drop("_l", "_h", *(f"_{k}{i}" for i in range(len(wide)) for k in "st"))
     return _limited(out, r)
 
 
@@ -304,22 +348,25 @@ def _limited(df: DataFrame, r: Request) -> DataFrame:
 
         df = df.withColumn("lines", once(F.col("lines"), stopped))
     if r.max_count is not None:
-        rank = running(F.transform("lines", lambda x: x["sel"].cast("int")))
-        df = df.withColumn("_r", rank).withColumn("lines", F.transform("lines", lambda x, i: x.withField("sel", x["sel"] & (F.get("_r", i) < r.max_count)))).drop("_r")
+        def cut(a: Column) -> Column:
+            before = running(F.transform(a, lambda x: x["sel"].cast("int")))
+            return F.zip_with(a, F.slice(before, 1, F.size(a)), lambda x, n: x.withField("sel", x["sel"] & (n < r.max_count)))
+
+        df = df.withColumn("lines", once(F.col("lines"), cut))
     return df
 
 
 def selected_lines(corpus: DataFrame, r: Request) -> DataFrame:
     """file_id, line_no, begin, end, line of the selected records."""
     some = corpus if r.invert else _candidates(corpus, list(r.patterns))
-    rows = selected(some, r).select("file_id", F.explode(F.filter("lines", lambda x: x["sel"])).alias("x"))
+    rows = each(selected(some, r, False), F.filter("lines", lambda x: x["sel"]), "file_id")
     return rows.select("file_id", F.col("x.no").alias("line_no"), F.col("x.begin").alias("begin"), F.col("x.end").alias("end"), F.col("x.line").alias("line"))
 
 
 def context_lines(corpus: DataFrame, r: Request) -> DataFrame:
-    """Emitted lines: file_id, line_no, line, matched, gap (a separator goes before it)."""
+    """Emitted lines: file_id, line_no, line, matched, gap (a separator goes before it), begin."""
     some = corpus if r.invert or r.passthru else _candidates(corpus, list(r.patterns))
-    df = selected(some, r)
+    df = selected(some, r, False)
 
     def near(a: Column) -> Column:
         flags = F.transform(a, lambda x: x["sel"])
@@ -337,8 +384,8 @@ def context_lines(corpus: DataFrame, r: Request) -> DataFrame:
 
     shown = df.withColumn("_e", near(F.col("lines")))
     gap = lambda x, i: F.struct(x.alias("x"), F.coalesce(x["no"] - F.get("_e", i - 1)["no"] > 1, F.lit(False)).alias("gap"))
-    rows = shown.select("file_id", F.explode(F.transform("_e", gap)).alias("y"))
-    return rows.select("file_id", F.col("y.x.no").alias("line_no"), F.col("y.x.line").alias("line"), F.col("y.x.sel").alias("matched"), "y.gap")
+    rows = each(shown, F.transform("_e", gap), "file_id", name="y")
+    return rows.select("file_id", F.col("y.x.no").alias("line_no"), F.col("y.x.line").alias("line"), F.col("y.x.sel").alias("matched"), "y.gap", F.col("y.x.begin").alias("begin"))
 
 
 # -- counts and file lists ----------------------------------------------------
@@ -354,13 +401,13 @@ def _sum_hits(a: str) -> Column:
 
 def _counted(df: DataFrame, n: Column, include_zero: bool) -> DataFrame:
     """Zero rows go inside a generator: a filter would sink below the projection and count twice."""
-    return df.select("file_id", n.alias("n") if include_zero else F.explode(F.filter(F.array(n), lambda x: x > 0)).alias("n"))
+    return df.select("file_id", n.alias("n")) if include_zero else each(df, F.filter(F.array(n), lambda x: x > 0), "file_id", name="n")
 
 
 def count_lines(corpus: DataFrame, r: Request, include_zero: bool = False) -> DataFrame:
     """file_id, n: selected lines of each file."""
     some = corpus if r.invert or include_zero else _candidates(corpus, list(r.patterns))
-    return _counted(selected(some, r), _count("lines"), include_zero)
+    return _counted(selected(some, r, False), _count("lines"), include_zero)
 
 
 def count_matches(corpus: DataFrame, r: Request, include_zero: bool = False) -> DataFrame:
@@ -379,13 +426,66 @@ def files_with(corpus: DataFrame, r: Request, without: bool = False) -> DataFram
         return corpus.filter(~test if without else test)
     if not without and not r.invert:
         corpus = _candidates(corpus, list(r.patterns))
-    df = selected(corpus, replace(r, max_count=None, stop_on_nonmatch=False))
+    df = selected(corpus, replace(r, max_count=None, stop_on_nonmatch=False), False)
     test = F.exists("lines", lambda x: x["sel"])
     return df.filter(~test if without else test).drop("lines")
 
 
 def stats(corpus: DataFrame, r: Request) -> DataFrame:
     """One row of totals."""
-    df = selected(corpus, r).select(_count("lines").alias("n"), (_count("lines") if r.invert else _sum_hits("lines")).alias("m"), F.octet_length("text").cast("bigint").alias("b"))
+    df = selected(corpus, r, not r.invert).select(_count("lines").alias("n"), (_count("lines") if r.invert else _sum_hits("lines")).alias("m"), F.octet_length("text").cast("bigint").alias("b"))
     zero = F.lit(0).cast("bigint")
     return df.agg(F.coalesce(F.sum("m"), zero).alias("matches"), F.coalesce(F.sum("n"), zero).alias("matched_lines"), F.coalesce(F.sum((F.col("n") > 0).cast("bigint")), zero).alias("files_with_matches"), F.count(F.lit(1)).alias("files_searched"), F.coalesce(F.sum("b"), zero).alias("bytes_searched"))
+
+
+# -- many patterns ---------------------------------------------------------------
+
+
+def count_needles(corpus: DataFrame, needles: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """file_id, n: rows of ``needles`` (a column needle) that the text holds; files without one are left out.
+
+    Equal needles are one with a count.  They are read in groups of at most ``most`` bytes; each group is broadcast
+    as one automaton and is one pass over the texts, with no shuffle but that of the sums.
+    """
+    import pyarrow as pa
+
+    spark = corpus.sparkSession
+    rows = needles.filter("needle IS NOT NULL").groupBy("needle").agg(F.count(F.lit(1)).alias("n"))
+
+    def groups():
+        part, size = [], 0
+        for r in rows.toLocalIterator():
+            if part and size + len(r.needle) > most:
+                yield part
+                part, size = [], 0
+            part.append((r.needle, r.n))
+            size += len(r.needle.encode())
+        if part:
+            yield part
+
+    def scanned(shared) -> DataFrame:
+        def run(batches):
+            import ahocorasick
+
+            a, empty = ahocorasick.Automaton(), 0
+            for k, (needle, n) in enumerate(shared.value):
+                if needle:
+                    a.add_word(needle, (k, n))
+                else:
+                    empty += n
+            a.make_automaton()
+            for b in batches:
+                ids, out = [], []
+                for i, t in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    total = empty + (sum(n for _, n in {x for _, x in a.iter(t)}) if len(a) and t else 0)
+                    if total:
+                        ids.append(i)
+                        out.append(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], ["file_id", "n"])
+
+        return corpus.select("file_id", "text").mapInArrow(run, "file_id long, n long")
+
+    parts = [scanned(spark.sparkContext.broadcast(g)) for g in groups()]
+    if not parts:
+        return spark.createDataFrame([], "file_id long, n long")
+    return reduce(DataFrame.unionByName, parts).groupBy("file_id").agg(F.sum("n").alias("n"))

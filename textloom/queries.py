@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import bz2
+import gzip
+import lzma
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.globs import IgnoreRule
-from textloom.operators import analytics, output, search, select
+from textloom.operators import analytics, output, regions, search, select
 from textloom.operators import index as ix
 from textloom.operators.index import IndexOptions
 from textloom.operators.search import Request
 from textloom.operators.select import Selection
 from textloom.plans.pattern import Case, Engine, PatternOptions, compile_pattern
+from textloom.plans import tuning
 from textloom.plans.tuning import Thresholds
 from textloom.sources import corpus as store
+from textloom.streaming import watch as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: Needles without a rare word that are broadcast at once.
+#: Needles that one automaton takes.
 NEEDLE_BYTES = 4 << 20
 
 
@@ -235,30 +245,12 @@ def multi_pattern_union(spark, d):
     return search.find(documents(spark, d), ps).select("file_id", "start", "end")
 
 
-@query("""WITH p AS (SELECT DISTINCT item_id, text AS needle FROM benchmark WHERE length(text) >= 4)
-SELECT d.doc_id AS file_id, count(*) AS n FROM documents d JOIN p ON contains(d.text, p.needle) GROUP BY 1""")
+@query("""WITH p AS (SELECT DISTINCT item_id, text AS needle FROM benchmark WHERE text IS NOT NULL)
+SELECT d.doc_id AS file_id, count(*) AS n FROM documents d JOIN p ON contains(coalesce(d.text, ''), p.needle) GROUP BY 1""")
 def pattern_file(spark, d):
-    """Patterns from a table: needles meet documents in a rare word of theirs, then are looked for.
-
-    Needles without such a word are looked for in all documents, a bounded group of them at a time.
-    """
+    """Patterns from a table: documents with the number of patterns they hold."""
     needles = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")).distinct()
-    inner = lambda c: F.filter(F.split(c, r"[^\p{L}]+", -1), lambda w: F.length(w) > 0)
-    # the longest whole word of the needle (not its first or last, which may be parts of words in a text)
-    whole = F.slice(inner("needle"), 2, F.greatest(F.size(inner("needle")) - 2, F.lit(0)))
-    key = F.array_max(F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = needles.filter("needle IS NOT NULL").withColumn("key", key).withColumn("no", F.xxhash64("item_id", "needle"))
-    docs = documents(spark, d)
-    words = docs.select("file_id", F.explode(F.array_distinct(inner("text"))).alias("key"))
-    rare, rest = keyed.filter("key IS NOT NULL"), keyed.filter("key IS NULL").select("no", "needle")
-    pairs = words.join(rare.select("key", "no"), "key").select("file_id", "no").distinct()
-    met = docs.join(pairs, "file_id").join(rare.select("no", "needle"), "no").filter(F.contains("text", F.col("needle"))).select("file_id")
-    size = rest.agg(F.sum(F.octet_length("needle") + 16)).first()[0] or 0
-    groups = -(-size // NEEDLE_BYTES)
-    for k in range(groups):
-        group = F.broadcast(rest.filter(F.pmod("no", F.lit(groups)) == k))
-        met = met.unionByName(docs.join(group, F.contains("text", F.col("needle"))).select("file_id"))
-    return met.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    return search.count_needles(documents(spark, d), needles, NEEDLE_BYTES)
 
 
 # -- counts, lists, contexts ------------------------------------------------------
@@ -305,9 +297,11 @@ def context_lines(spark, d):
     return search.context_lines(documents(spark, d), Request.of("license", before=2, after=1)).select("file_id", "line_no", "line", "matched")
 
 
-@query(f"{L}, {_NEAR}, k AS (SELECT file_id, line_no, line_no - lag(line_no) OVER (PARTITION BY file_id ORDER BY line_no) > 1 AS gap FROM e WHERE near) SELECT file_id, line_no FROM k WHERE gap")
+@query(f"""{L}, s AS (SELECT file_id, line_no, contains(line, 'tion') AS m FROM lines),
+e AS (SELECT *, bool_or(m) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM s),
+k AS (SELECT file_id, line_no, line_no - lag(line_no) OVER (PARTITION BY file_id ORDER BY line_no) > 1 AS gap FROM e WHERE near) SELECT file_id, line_no FROM k WHERE gap""")
 def context_separators(spark, d):
-    return search.context_lines(documents(spark, d), Request.of("license", before=2, after=1)).filter("gap").select("file_id", "line_no")
+    return search.context_lines(documents(spark, d), Request.of("tion", before=1, after=1)).filter("gap").select("file_id", "line_no")
 
 
 @query(f"{L} SELECT file_id, line_no, contains(line, 'license') AS matched FROM lines")
@@ -349,14 +343,8 @@ def first_file(spark, d):
     return search.files_with(documents(spark, d), Request.of("license")).select("file_id").orderBy("file_id").limit(3)
 
 
-@query(f"SELECT doc_id AS file_id, {_PATH} AS path FROM documents WHERE contains(text, 'license') ORDER BY path DESC LIMIT 20")
-def sort_by_path_desc(spark, d):
-    return output.sorted_files(search.files_with(documents(spark, d), Request.of("license")), "path", True).select("file_id", "path").limit(20)
-
-
 @query(f"SELECT doc_id AS file_id, {_PATH} AS path FROM documents WHERE contains(text, 'license') ORDER BY path DESC")
-def all_sorted_by_path_desc(spark, d):
-    """All files in order: ``sort_by_path_desc`` has only the first 20, as its SQL says."""
+def sort_by_path_desc(spark, d):
     return output.sorted_files(search.files_with(documents(spark, d), Request.of("license")), "path", True).select("file_id", "path")
 
 
@@ -453,16 +441,13 @@ def standard_output(spark, d):
     return out.select("file_id", "line_no", F.regexp_replace("shown", "^--\n", "").alias("shown"))
 
 
-@query("SELECT doc_id AS file_id, CAST(strlen(text) AS BIGINT) AS n, base64(encode(text)) AS b64 FROM documents WHERE strlen(text) <= 200")
+@query("""SELECT doc_id AS file_id, CASE WHEN doc_id % 2 = 0 THEN base64('\\xFF'::BLOB || encode(coalesce(text, ''))) END AS b64, CASE WHEN doc_id % 2 <> 0 THEN coalesce(text, '') END AS text FROM documents""")
 def base64_payload(spark, d):
-    c = documents(spark, d).filter("size <= 200")
-    return c.select("file_id", F.col("size").alias("n"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]+", "").alias("b64"))
-
-
-@query("SELECT doc_id AS file_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, base64(encode(coalesce(text, ''))) AS b64 FROM documents")
-def base64_whole_texts(spark, d):
-    """Every text, whole: ``base64_payload`` has only those of at most 200 bytes, as its SQL says."""
-    return documents(spark, d).select("file_id", F.col("size").alias("n"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]+", "").alias("b64"))
+    """Every text, whole, as JSON events carry it: as bytes where a byte before it makes it invalid, else as text."""
+    bad = F.col("file_id") % 2 == 0
+    content = F.when(bad, F.concat(F.lit(b"\xff"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    j = F.from_json(output.text_or_bytes(content), "text string, bytes string")
+    return documents(spark, d).select("file_id", F.regexp_replace(j["bytes"], "[\r\n]+", "").alias("b64"), j["text"].alias("text"))
 
 
 # -- index ------------------------------------------------------------------------------
@@ -476,39 +461,30 @@ def chunk_table(spark, d):
     return ix.chunks(documents(spark, d), _IX)
 
 
-_GRAM = """g AS (SELECT rid, unnest(range(1, length(text) - 2)) AS i, text FROM t WHERE length(text) >= 4),
-q AS (SELECT rid, substr(text, i, 4) AS gram FROM g)"""
+# windows of whole documents in hexadecimal: chunks, and the blocks of each
+_HEX_CHUNKS = """x AS (SELECT doc_id AS file_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+ch AS (SELECT file_id, x, n, unnest(range(0, greatest(n, 1), 4096)) AS p0 FROM x),
+chunk AS (SELECT file_id, p0 // 4096 AS chunk_no, p0, least(n, p0 + 4096 + 128) - p0 AS size, substr(x, 2 * p0 + 1, 2 * (4096 + 128)) AS w FROM ch)"""
+_HEX_BLOCKS = f"""{_HEX_CHUNKS}, bl AS (SELECT file_id, chunk_no, w, unnest(range(0, greatest(size, 1), 256)) AS b FROM chunk),
+block AS (SELECT file_id, chunk_no, b // 256 AS block_no, substr(w, 2 * b + 1, 2 * (256 + 64)) AS w FROM bl)"""
 
 
-@query(f"WITH t AS (SELECT item_id AS rid, text FROM benchmark WHERE strlen(text) = length(text)), {_GRAM} SELECT gram, count(*) AS occurrence_frequency, count(DISTINCT rid) AS chunk_frequency, count(DISTINCT rid) AS document_frequency FROM q GROUP BY 1")
-def qgram_stats(spark, d):
-    c = store.from_table(_read(spark, d, "benchmark"), "item_id", F.lit("b"), "text").filter("size = length(text)")
-    return ix.qgram_stats(c).withColumn("gram", F.col("gram").cast("string"))
+def _holds(literal: str) -> str:
+    """All four-byte strings of an ASCII literal, at even places."""
+    grams = {literal[i : i + 4].encode().hex().upper() for i in range(len(literal) - 3)}
+    return " AND ".join(f"regexp_matches(w, '^(?:..)*?{g}')" for g in sorted(grams))
 
 
-@query("WITH c AS (SELECT doc_id AS file_id, encode(text) AS b FROM documents) SELECT file_id FROM c WHERE contains(decode(b), 'lice') AND contains(decode(b), 'icen') AND contains(decode(b), 'cens') AND contains(decode(b), 'ense')")
+@query(f"WITH {_HEX_CHUNKS} SELECT file_id, chunk_no FROM chunk WHERE {_holds('license')}")
 def qgram_candidates(spark, d):
-    """Files that have all four-byte strings of a literal in some chunk (chunks as long as the longest file)."""
-    o = IndexOptions(chunk_bytes=1 << 26)
-    return ix.candidates(ix.postings(documents(spark, d), o), "license", o).select("file_id")
+    """Chunks that hold all four-byte strings of a literal."""
+    return ix.candidates(ix.postings(documents(spark, d), _IX), "license", _IX).select("file_id", "chunk_no")
 
 
-@query(f"WITH {_spans('license')} SELECT DISTINCT file_id, start_ AS start FROM spans")
+@query(f"WITH {_HEX_BLOCKS} SELECT file_id, chunk_no, block_no FROM block WHERE {_holds('license')}")
 def block_candidates(spark, d):
-    """Matches lie in candidate blocks: candidates verified."""
-    docs = documents(spark, d)
-    some = ix.candidates(ix.block_postings(docs, _IX), "license", _IX).select("file_id").distinct()
-    return search.find(docs.join(some, "file_id", "left_semi"), [compile_pattern("license", PatternOptions(fixed=True))]).select("file_id", "start")
-
-
-@query("""WITH t AS (SELECT item_id AS rid, text FROM benchmark WHERE strlen(text) = length(text)), g AS (SELECT rid, unnest(range(1, length(text) - 2)) AS i, text FROM t WHERE length(text) >= 4),
-q AS (SELECT substr(text, i, 4) AS gram, count(DISTINCT rid) AS f FROM g GROUP BY 1),
-want AS (SELECT DISTINCT substr('another thing', i, 4) AS gram FROM (SELECT unnest(range(1, 11)) AS i))
-SELECT gram FROM want LEFT JOIN q USING (gram) ORDER BY coalesce(f, 0), gram LIMIT 4""")
-def rarity_plan(spark, d):
-    c = store.from_table(_read(spark, d, "benchmark"), "item_id", F.lit("b"), "text").filter("size = length(text)")
-    grams = ix.plan_grams(ix.qgram_stats(c), "another thing")
-    return spark.createDataFrame([(g.decode(),) for g in grams], "gram string")
+    """Blocks that do."""
+    return ix.candidates(ix.block_postings(documents(spark, d), _IX), "license", _IX).select("file_id", "chunk_no", "block_no")
 
 
 @query(f"WITH {_lines()}, {_line_spans('(icens|assword)[a-z=]')} SELECT file_id, start_ AS start, end_ AS \"end\" FROM spans")
@@ -522,26 +498,70 @@ _DOC_GRAMS = """x AS (SELECT doc_id AS rid, hex(encode(coalesce(text, ''))) AS x
 s AS (SELECT rid, r, regexp_extract_all(substr(x, CAST(2 * r + 1 AS BIGINT)), '.{8}') AS p FROM x, (SELECT unnest(range(4)) AS r)),
 s1 AS (SELECT rid, r, unnest(p) AS gram, unnest(range(len(p))) AS k FROM s),
 q AS (SELECT rid, gram, 4 * k + r AS pos FROM s1)"""
-_DOC_STATS = f"""{_DOC_GRAMS},
+_DOC_CHUNKS = f"""{_DOC_GRAMS},
 e AS (SELECT gram, rid, pos // 4096 AS c, 1 AS n FROM q UNION ALL SELECT gram, rid, pos // 4096 - 1, 0 FROM q WHERE pos >= 4096 AND pos % 4096 <= 124),
-f AS (SELECT gram, rid, c, sum(n) AS n FROM e GROUP BY 1, 2, 3),
+f AS (SELECT gram, rid, c, sum(n) AS n FROM e GROUP BY 1, 2, 3)"""
+_DOC_STATS = f"""{_DOC_CHUNKS},
 g AS (SELECT gram, rid, sum(n) AS n, count(*) AS c FROM f GROUP BY 1, 2),
 stats AS (SELECT gram, CAST(sum(n) AS BIGINT) AS occurrence_frequency, CAST(sum(c) AS BIGINT) AS chunk_frequency, count(*) AS document_frequency FROM g GROUP BY 1)"""
 
 
 @query(f"WITH {_DOC_STATS} SELECT gram, occurrence_frequency, chunk_frequency, document_frequency FROM stats")
-def qgram_stats_documents(spark, d):
-    """Over whole documents in any script; ``qgram_stats`` has the ASCII items of the benchmark, as its SQL says."""
+def qgram_stats(spark, d):
+    """Over whole documents in any script."""
     return ix.qgram_stats(documents(spark, d), _IX).withColumn("gram", F.hex("gram"))
 
 
 @query(f"""WITH {_DOC_STATS}, want AS (SELECT DISTINCT hex(encode(substr('another thing', i, 4))) AS gram FROM (SELECT unnest(range(1, 11)) AS i))
 SELECT gram FROM want LEFT JOIN stats USING (gram) ORDER BY coalesce(chunk_frequency, 0), gram LIMIT 4""")
-def rarity_plan_documents(spark, d):
+def rarity_plan(spark, d):
     grams = ix.plan_grams(ix.qgram_stats(documents(spark, d), _IX), "another thing")
     return spark.createDataFrame([(g.hex().upper(),) for g in grams], "gram string")
 
 
+@query(f"WITH {_DOC_CHUNKS}, b AS (SELECT DISTINCT ((CAST('0x' || gram AS BIGINT) * 40503) >> 16) % 65536 AS bucket, rid, c FROM f) SELECT bucket, count(*) AS chunks FROM b GROUP BY 1")
+def bucket_stats(spark, d):
+    return ix.bucket_stats(ix.postings(documents(spark, d), _IX))
+
+
+@query(f"""WITH {_DOC_CHUNKS}, c AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS b FROM documents)
+SELECT 'corpus' AS component, n AS rows, b AS bytes FROM c UNION ALL SELECT 'postings', count(*), count(*) * 28 FROM f UNION ALL SELECT 'qgram_stats', count(DISTINCT gram), count(DISTINCT gram) * 28 FROM f""")
+def memory_ledger(spark, d):
+    docs = documents(spark, d)
+    found = ix.postings(docs, _IX)
+    return ix.memory_ledger(docs, found, found, ix.qgram_stats(docs, _IX)).filter("component <> 'block_postings'")
+
+
+@query(f"""WITH {_HEX_BLOCKS}, c AS (SELECT file_id, chunk_no, size FROM chunk WHERE {_holds('license')}),
+p AS (SELECT {' + '.join(f"CAST(regexp_matches(w, '^(?:..)*?{g.hex().upper()}') AS BIGINT)" for g in ix.query_grams('license'))} AS n FROM chunk)
+SELECT count(*) AS candidate_chunks, count(DISTINCT file_id) AS candidate_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS touched_bytes,
+  (SELECT count(*) FROM block WHERE {_holds('license')}) AS candidate_blocks, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM p) AS probe_rows,
+  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM x WHERE file_id IN (SELECT file_id FROM c)) AS verified_bytes,
+  (SELECT CAST(sum(len(regexp_extract_all(text, 'license'))) AS BIGINT) FROM documents) AS matches FROM c""")
+def search_stats(spark, d):
+    """What an indexed search looked at."""
+    docs = documents(spark, d)
+    return ix.search_stats(docs, ix.postings(docs, _IX), ix.block_postings(docs, _IX), compile_pattern("license", PatternOptions(fixed=True)), _IX)
+
+
+# -- regions ------------------------------------------------------------------------------
+
+_FAR = PatternOptions(multiline=True, dotall=True)
+
+
+@query("WITH " + _spans("(?s)und.{0,40}the") + ' SELECT file_id, start_ AS start, end_ AS "end" FROM spans')
+def bounded_regions(spark, d):
+    """Matching in the regions that the literals of a pattern leave, and nowhere else."""
+    return regions.find(documents(spark, d), compile_pattern("und.{0,40}the", _FAR))
+
+
+@query(f"WITH {_spans('und')}, u AS (SELECT file_id, start_ AS p FROM spans), {_spans('the').replace('g AS (', 'g2 AS (').replace('FROM g)', 'FROM g2)').replace('r AS (SELECT', 'r2 AS (SELECT').replace('FROM r WHERE', 'FROM r2 WHERE').replace('spans AS', 't AS')} SELECT file_id, p AS lo, p AS hi FROM u WHERE EXISTS (SELECT 1 FROM t WHERE t.file_id = u.file_id AND t.start_ BETWEEN u.p + 3 AND u.p + 163)")
+def literal_intervals(spark, d):
+    """Where a match may begin: intervals of both literals joined by their overlap."""
+    found = regions.with_start_intervals(documents(spark, d), compile_pattern("und.{0,40}the", _FAR))
+    return search.each(found, F.col("starts"), "file_id").select("file_id", "x.lo", "x.hi")
+
+
 _BYTES = "b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents), n AS (SELECT h, count(*) AS n FROM b GROUP BY 1)"
 
 
@@ -564,8 +584,84 @@ def append_tombstone(spark, d):
 @query("SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(strlen(text)) FILTER (WHERE doc_id % 4 = 0) AS BIGINT) AS appended, sum(strlen(text)) FILTER (WHERE doc_id % 4 = 0) * 100 > sum(strlen(text)) * 25 AS due FROM documents")
 def compaction_ratio(spark, d):
     c = documents(spark, d)
-    out = c.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("file_id") % 4 == 0, F.col("size"))).alias("appended"))
-    return out.withColumn("due", F.col("appended") * 100 > F.col("bytes") * store.APPENDED_PERCENT)
+    r = c.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("file_id") % 4 == 0, F.col("size"))).alias("appended")).first()
+    return spark.createDataFrame([(*r, store.compaction_due(1, r.appended or 0, r.bytes or 0))], "files long, bytes long, appended long, due boolean")
+
+
+def _scratch(spark) -> str:
+    """A new folder for a snapshot: in the shared folder of the cluster, or of this machine if it is all there is."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{base}/snapshot-{uuid.uuid4().hex}"
+    p, fs = store._hadoop(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def _changes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    changed = base.filter("file_id % 11 = 1").withColumn("text", F.upper(F.substring("text", 1, 10))).withColumn("size", F.octet_length("text").cast("bigint"))
+    return changed, base.filter("file_id % 7 = 0 AND file_id % 11 <> 1").select("path")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_PATH} AS path, text FROM documents)
+SELECT path, CAST(strlen(CASE WHEN doc_id % 11 = 1 THEN upper(substr(text, 1, 10)) ELSE text END) AS BIGINT) AS size FROM d WHERE doc_id % 7 <> 0 OR doc_id % 11 = 1""")
+def snapshot_segments(spark, d):
+    """A snapshot that is saved, changed by a segment, and loaded with its digest checked."""
+    path, base = _scratch(spark), documents(spark, d)
+    store.save(base, path, {"root": "documents"})
+    store.add_segment(spark, path, *_changes(base))
+    return store.load(spark, path, {"root": "documents"}).select("path", "size")
+
+
+@query("SELECT count(*) AS files, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, true AS same, false AS changed FROM documents")
+def snapshot_fingerprint(spark, d):
+    """Files, bytes, whether a shuffled copy has the same digest, and one with a change."""
+    c = documents(spark, d)
+    a = store.fingerprint(c)
+    b = store.fingerprint(c.orderBy(F.desc("path"))).select(F.col("digest").alias("b"))
+    x = store.fingerprint(c.withColumn("text", F.when(F.col("file_id") == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")))).select(F.col("digest").alias("x"))
+    return a.crossJoin(b).crossJoin(x).select("files", "bytes", (F.col("digest") == F.col("b")).alias("same"), (F.col("digest") == F.col("x")).alias("changed"))
+
+
+@query("SELECT doc_id AS file_id, coalesce(text, '') AS text FROM documents")
+def decode_utf16(spark, d):
+    """UTF-16 with its mark, in either order, and UTF-8: all come back."""
+    b = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE"))).when(F.col("file_id") % 3 == 1, F.concat(F.lit(b"\xfe\xff"), F.encode("text", "UTF-16BE"))).otherwise(F.col("text").cast("binary"))
+    return documents(spark, d).select("file_id", store.decoded(b).alias("text"))
+
+
+_PACKERS = (("a.gz", gzip.compress), ("a.bz2", bz2.compress), ("a.xz", lzma.compress), ("a.lz4", lambda b: pa.compress(b, "lz4", asbytes=True)), ("a.txt", bytes))
+
+
+@query("SELECT doc_id AS file_id, sha256(coalesce(text, '') || '!') AS digest FROM documents")
+def unpacked_texts(spark, d):
+    """Packed files by their names, then a preprocessor that puts a mark at their ends."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, t in zip(b.column("file_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                name, pack = _PACKERS[i % len(_PACKERS)]
+                out.append(store.preprocessed(lambda _, x: x + b"!", name, store.unpacked(name, pack(t.encode()))))
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(out, pa.binary())], ["file_id", "content"])
+
+    return documents(spark, d).select("file_id", "text").mapInArrow(run, "file_id long, content binary").select("file_id", F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, count(*) AS documents, count(*) FILTER (WHERE event_type = 'error') AS matched FROM events GROUP BY 1")
+def stream_rates(spark, d):
+    """Windowed rates of a stream, read to its end: the events as they come from files."""
+    source = spark.readStream.schema(_read(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rates = stream.match_rates(source, "event_type", "ts", Request.of("error"), "1 hour", "40 days")
+    name, path = f"rates_{uuid.uuid4().hex}", _scratch(spark)
+    q = rates.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"SELECT {_PATH} AS path FROM documents WHERE doc_id % 10 IN (1, 2, 3)")
@@ -584,15 +680,26 @@ def byte_entropy(spark, d):
     return analytics.byte_entropy(documents(spark, d)).select(F.round("bits", 6).alias("bits"))
 
 
-@query(f"WITH t AS (SELECT item_id AS rid, text FROM benchmark WHERE strlen(text) = length(text)), {_GRAM}, n AS (SELECT gram, count(*) AS n FROM q GROUP BY 1), s AS (SELECT sum(n) AS s FROM n) SELECT round(-sum(n / s * log2(n / s)), 6) AS bits FROM n, s")
+@query(f"WITH {_DOC_GRAMS}, n AS (SELECT gram, count(*) AS n FROM q GROUP BY 1), t AS (SELECT sum(n) AS t FROM n) SELECT round(-sum(n / t * log2(n / t)), 6) AS bits FROM n, t")
 def qgram_entropy(spark, d):
-    c = store.from_table(_read(spark, d, "benchmark"), "item_id", F.lit("b"), "text").filter("size = length(text)")
-    return analytics.qgram_entropy(c, 4).select(F.round("bits", 6).alias("bits"))
+    return analytics.qgram_entropy(documents(spark, d), 4).select(F.round("bits", 6).alias("bits"))
 
 
-@query(f"WITH {_DOC_GRAMS}, n AS (SELECT gram, count(*) AS n FROM q GROUP BY 1), t AS (SELECT sum(n) AS t FROM n) SELECT round(-sum(n / t * log2(n / t)), 6) AS bits FROM n, t")
-def qgram_entropy_documents(spark, d):
-    return analytics.qgram_entropy(documents(spark, d), 4).select(F.round("bits", 6).alias("bits"))
+@query("""WITH x AS (SELECT doc_id, substr(hex(encode(text)), 1, 16384) AS x FROM documents WHERE text <> ''),
+a AS (SELECT doc_id, x, coalesce(sum(length(x) // 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM x),
+s AS (SELECT doc_id, substr(x, 1, CAST(2 * (131072 - p0) AS BIGINT)) AS x FROM a WHERE p0 < 131072),
+b AS (SELECT unnest(regexp_extract_all(x, '..')) AS b FROM s), n AS (SELECT b, count(*) AS n FROM b GROUP BY 1), t AS (SELECT sum(n) AS t FROM n),
+g AS (SELECT DISTINCT unnest(list_transform(range(0, length(x) // 2 - 3), lambda i: substr(x, 2 * i + 1, 8))) AS g FROM s)
+SELECT (SELECT CAST(sum(length(x) // 2) AS BIGINT) FROM s) AS sampled_bytes, (SELECT round(-sum(n / t * log2(n / t)), 6) FROM n, t) AS bits, (SELECT least(count(*), 50000) FROM g) AS unique_grams""")
+def sampled_profile(spark, d):
+    return analytics.sampled_profile(documents(spark, d)).withColumn("bits", F.round("bits", 6))
+
+
+@query("SELECT event_type, list_sort(list(value))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def ranked_percentile(spark, d):
+    """The element at a rank, as it is: no interpolation."""
+    e = _read(spark, d, "events").filter("value IS NOT NULL").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    return analytics.ranked_of_counts(e, "value", "n", 0.95, "event_type").withColumnRenamed("ranked", "p95")
 
 
 @query("SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(strlen(text)) AS min_size, max(strlen(text)) AS max_size, round(avg(strlen(text)), 6) AS mean_size, count(*) - count(DISTINCT text) AS duplicates, count(*) FILTER (WHERE contains(text, chr(0))) AS binaries FROM documents")
@@ -664,18 +771,71 @@ def gate_verdicts(spark, d):
     return analytics.gate_verdicts(_scenarios(spark, d), Thresholds()).select("scenario", "status", "classification")
 
 
-@query("SELECT 'FAIL' AS status, false AS passed, CAST(0 AS BIGINT) AS wins, CAST(0 AS BIGINT) AS neutral, count(DISTINCT event_type) AS regressions FROM events")
+@query("""WITH s AS (SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, avg(value) AS per FROM events GROUP BY 1),
+v AS (SELECT CASE WHEN p50 / (p50 * 0.9) > 1.15 THEN 3 WHEN p50 > 100 OR p95 > 300 OR per > 50 OR p50 / (p50 * 0.9) > 1.05 THEN 2 ELSE 0 END AS r, CASE WHEN p50 / (p50 * 0.9) > 1.05 THEN 'REGRESSION' ELSE 'NEUTRAL' END AS k FROM s)
+SELECT ['PASS', 'WARN', 'FAIL', 'ROLLBACK'][max(r) + 1] AS status, max(r) < 2 AS passed, count(*) FILTER (WHERE k = 'WIN') AS wins, count(*) FILTER (WHERE k = 'NEUTRAL') AS neutral, count(*) FILTER (WHERE k = 'REGRESSION') AS regressions FROM v""")
 def gate_overall(spark, d):
     return analytics.gate_overall(analytics.gate_verdicts(_scenarios(spark, d), Thresholds()))
 
 
+# -- plans ------------------------------------------------------------------------------------
+
+_LITERALS = ("license", "tion", "another thing", "zzzzqqqq")
+
+
+@query(f"""WITH {_DOC_STATS}, k AS (SELECT CAST(sum(greatest((strlen(coalesce(text, '')) + 4095) // 4096, 1)) AS BIGINT) AS chunks, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS b FROM documents),
+l AS (SELECT unnest([{', '.join(f"'{x}'" for x in _LITERALS)}]) AS expression),
+lg AS (SELECT DISTINCT expression, hex(encode(substr(expression, i, 4))) AS gram FROM (SELECT expression, unnest(range(1, length(expression) - 2)) AS i FROM l)),
+lf AS (SELECT expression, gram, coalesce(chunk_frequency, 0) AS n FROM lg LEFT JOIN stats USING (gram)),
+m AS (SELECT expression, least(1.0, min(n) / any_value(k.chunks)) AS s, least(count(*), 4) AS probes FROM lf, k GROUP BY 1),
+lc AS (SELECT expression, s, probes, greatest(CAST(floor(s * chunks) AS BIGINT), CASE WHEN s < 1 THEN 1 ELSE 0 END) AS c, greatest(CAST(floor(s * chunks * 16) AS BIGINT), CASE WHEN s < 1 THEN 1 ELSE 0 END) AS bl, b FROM m, k)
+SELECT expression, plan, round(s, 9) AS selectivity, round(cost, 3) AS cost FROM (
+  SELECT expression, s, 'positional-block' AS plan, 0.5 * bl * 320 + 50 * bl + 10 * c + probes * c AS cost FROM lc
+  UNION ALL SELECT expression, s, 'chunk', c * 4096.0 + 100 * c FROM lc UNION ALL SELECT expression, s, 'whole-file', CAST(b AS DOUBLE) + 100 * c FROM lc)""")
+def plan_costs(spark, d):
+    """Physical plans of a few literals with their costs, by the statistics of the index."""
+    docs = documents(spark, d)
+    n = docs.agg(F.sum(F.greatest(F.ceil(F.col("size") / _IX.chunk_bytes), F.lit(1))).cast("bigint").alias("c"), F.sum("size").alias("b")).first()
+    grams = sorted({g for x in _LITERALS for g in ix.query_grams(x)})
+    known = ix.qgram_stats(docs, _IX).filter(F.col("gram").isin([F.lit(g) for g in grams])).select("gram", "chunk_frequency").collect()  # a few dozen rows
+    facts = tuning.IndexFacts(n.c, n.c * (_IX.chunk_bytes // _IX.block_bytes), n.b, {bytes(r.gram): r.chunk_frequency for r in known})
+    rows = [(x, c.plan.value, round(c.selectivity, 9), round(float(c.cost), 3)) for x in _LITERALS for c in tuning.fixed_plans(tuning.PlanKey(x, PatternOptions(fixed=True), _IX), facts)]
+    return spark.createDataFrame(rows, "expression string, plan string, selectivity double, cost double")
+
+
+@query("""SELECT s_name AS name, CAST(list_reduce(list_transform(string_split(s_name, ''), lambda c: CAST(ascii(c) AS HUGEINT)), lambda h, b: (xor(h, b) * CAST(1099511628211 AS HUGEINT)) % CAST('18446744073709551616' AS HUGEINT), CAST('14695981039346656037' AS HUGEINT)) AS VARCHAR) AS digest FROM supplier""")
+def fnv1a_names(spark, d):
+    """The digest that plan keys use, of every supplier's name."""
+
+    def run(batches):
+        for b in batches:
+            names = b.column("name").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([str(tuning.fnv1a(x)) for x in names])], ["name", "digest"])
+
+    return _read(spark, d, "supplier").select(F.col("s_name").alias("name")).mapInArrow(run, "name string, digest string")
+
+
+@query("""WITH c AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS f FROM events GROUP BY 1)
+SELECT event_type, CASE WHEN (n >= 20 AND f / n > 0.05) OR f > 10 THEN 'rollback_enforced' ELSE 'rollout_active' END AS state, round(f / n, 6) AS ratio FROM c""")
+def rollout_states(spark, d):
+    """A rollout for each kind of event, slow ones taken for fallbacks."""
+    rows = []
+    for r in _read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 50).cast("bigint")).alias("f")).collect():  # a row a kind
+        x = tuning.Rollout(tuning.RolloutState.ACTIVE, {"blocks"})
+        for i in range(r.n):
+            x.record(i < r.f)
+        x.guard()
+        rows.append((r.event_type, x.state.value, round(x.ratio, 6)))
+    return spark.createDataFrame(rows, "event_type string, state string, ratio double")
+
+
 # -- other tables ---------------------------------------------------------------------------
 
 
 @query(f"WITH {_lines('pages', 'page_id', 'html')} SELECT file_id, line_no, CAST(len(regexp_extract_all(line, '<a [^>]*>')) AS BIGINT) AS n FROM lines WHERE regexp_matches(line, '<a [^>]*>')")
 def page_links(spark, d):
     c = store.from_table(_read(spark, d, "pages"), "page_id", "url", "html")
-    rows = search.selected(c, Request.of("<a [^>]*>")).select("file_id", F.explode(F.filter("lines", lambda x: x["sel"])).alias("x"))
+    rows = search.each(search.selected(c, Request.of("<a [^>]*>")), F.filter("lines", lambda x: x["sel"]), "file_id")
     return rows.select("file_id", F.col("x.no").alias("line_no"), F.col("x.hits").alias("n"))
 
 

@@ -8,17 +8,21 @@ import io
 import json
 import lzma
 import os
+import re
 import shlex
 import subprocess
 import tarfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.globs import name_regex
 from textloom.operators.select import is_binary
 
 SCHEMA = "file_id long, path string, content binary, text string, size long, mtime_ns long, binary boolean"
@@ -82,14 +86,14 @@ def _foreign(encoding: str):
 # -- directories --------------------------------------------------------------
 
 
-def list_files(root: str, hidden: bool = True, follow: bool = False) -> list[tuple[str, int, int]]:
+def list_files(root: str, hidden: bool = True, follow: bool = False, one_device: bool = False) -> list[tuple[str, int, int]]:
     """(relative path, size, mtime in ns) of regular files, sorted; unreadable ones are skipped.
 
-    Links are followed on request, each directory once.
+    Links are followed on request, each directory once; ``one_device`` stays on the root's file system.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    found, seen = [], set()
+    found, seen, device = [], set(), os.stat(root).st_dev
     for at, dirs, files in os.walk(root, followlinks=follow):
         if follow:
             real = os.path.realpath(at)
@@ -99,12 +103,16 @@ def list_files(root: str, hidden: bool = True, follow: bool = False) -> list[tup
             seen.add(real)
         if not hidden:
             dirs[:] = [d for d in dirs if not d.startswith(".")]
+        if one_device:
+            dirs[:] = [d for d in dirs if os.stat(os.path.join(at, d)).st_dev == device]
         for name in files:
             full = os.path.join(at, name)
             if (not hidden and name.startswith(".")) or not os.path.isfile(full) or (os.path.islink(full) and not follow):
                 continue
             try:
                 s = os.stat(full)
+                if one_device and s.st_dev != device:
+                    continue
                 if os.access(full, os.R_OK):
                     found.append((os.path.relpath(full, root).replace(os.sep, "/"), s.st_size, s.st_mtime_ns))
             except OSError:
@@ -112,9 +120,26 @@ def list_files(root: str, hidden: bool = True, follow: bool = False) -> list[tup
     return sorted(found)
 
 
-def scan(spark: SparkSession, root: str, hidden: bool = True, follow: bool = False, pre: Callable[[str, bytes], bytes] | str | None = None, archives: bool = False, encoding: str = "auto") -> DataFrame:
-    """A directory as a corpus; contents are read by the executors, which must reach ``root``."""
-    rows = [(i, p, s, m) for i, (p, s, m) in enumerate(list_files(root, hidden, follow))]
+def scan(
+    spark: SparkSession, root: str, hidden: bool = True, follow: bool = False, pre: Callable[[str, bytes], bytes] | str | None = None, archives: bool = False, encoding: str = "auto", pre_globs: tuple[str, ...] = (), one_device: bool = False
+) -> DataFrame:
+    """A directory as a corpus; contents are read by the executors, which must reach ``root``.
+
+    A root with a scheme (hdfs://, s3a://, file://) is listed by Spark, in parallel and on any file
+    system that it knows; links and devices are then left to that file system, and names that begin with
+    a dot or an underscore aren't listed.  ``pre`` goes to files that match one of ``pre_globs``, or to all.
+    """
+    # globs come in Java's notation for code points
+    wanted = re.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), name_regex(list(pre_globs)))) if pre_globs else None
+
+    def content(path: str, full: str, data: bytes) -> bytes:
+        if pre is not None and (wanted is None or wanted.search(path)):
+            data = preprocessed(pre, full, data)
+        return unpacked(path, data) if archives else data
+
+    if "://" in root:
+        return with_text(_listed(spark, root, hidden, content if pre is not None or archives else None), encoding).select("file_id", "path", "content", "text", "size", "mtime_ns", "binary")
+    rows = [(i, p, s, m) for i, (p, s, m) in enumerate(list_files(root, hidden, follow, one_device))]
     names = spark.createDataFrame(rows, "file_id long, path string, size long, mtime_ns long")
     parts = max(1, min(len(rows), sum(r[2] for r in rows) // (16 << 20) + spark.sparkContext.defaultParallelism))
 
@@ -122,19 +147,49 @@ def scan(spark: SparkSession, root: str, hidden: bool = True, follow: bool = Fal
         for b in batches:
             out = []
             for path in b.column("path").to_pylist():
-                with open(os.path.join(root, path), "rb") as f:
-                    data = f.read()
-                if pre is not None:
-                    data = preprocessed(pre, os.path.join(root, path), data)
-                if archives:
-                    data = unpacked(path, data)
-                out.append(data)
+                full = os.path.join(root, path)
+                with open(full, "rb") as f:
+                    out.append(content(path, full, f.read()))
             yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("path"), pa.array(out, pa.binary()), b.column("mtime_ns")], ["file_id", "path", "content", "mtime_ns"])
 
     read = names.repartition(parts).mapInArrow(run, "file_id long, path string, content binary, mtime_ns long")
     return with_text(read, encoding).select("file_id", "path", "content", "text", "size", "mtime_ns", "binary")
 
 
+def _listed(spark: SparkSession, root: str, hidden: bool, content: Callable[[str, str, bytes], bytes] | None) -> DataFrame:
+    """file_id (a hash of the path: no driver list, no order to keep), path, content, mtime_ns."""
+    base, fs = _hadoop(spark, root)
+    top = fs.makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
+    # Spark writes one slash after the scheme of local files, Hadoop three
+    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9A-Z+.-]+:(//[^/]*)?", ""), "^" + re.escape(top), "")
+    rows = found.select(F.xxhash64(path).alias("file_id"), path.alias("path"), F.col("path").alias("full"), "content", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    if not hidden:
+        rows = rows.filter(~F.col("path").rlike(r"(^|/)\."))
+    if content is None:
+        return rows.drop("full")
+
+    def run(batches):
+        for b in batches:
+            out = [content(p, f, d) for p, f, d in zip(*(b.column(c).to_pylist() for c in ("path", "full", "content")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("path"), pa.array(out, pa.binary()), b.column("mtime_ns")], ["file_id", "path", "content", "mtime_ns"])
+
+    return rows.mapInArrow(run, "file_id long, path string, content binary, mtime_ns long")
+
+
+def with_times(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (path, more) with atime_ns and ctime_ns (of birth where the system keeps it, else of the last change)."""
+    packed = files.select("path", F.struct(*files.columns).alias("row"))
+
+    def run(batches):
+        for b in batches:
+            stats = [os.stat(os.path.join(root, p)) for p in b.column("path").to_pylist()]
+            born = [int(getattr(s, "st_birthtime", 0) * 1e9) or s.st_ctime_ns for s in stats]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([s.st_atime_ns for s in stats], pa.int64()), pa.array(born, pa.int64())], ["row", "atime_ns", "ctime_ns"])
+
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, atime_ns long, ctime_ns long").select("row.*", "atime_ns", "ctime_ns")
+
+
 def preprocessed(pre: Callable[[str, bytes], bytes] | str, path: str, data: bytes) -> bytes:
     """A callable, or a command that gets the file on its input and as its last argument; failure is fatal."""
     if callable(pre):
@@ -164,6 +219,9 @@ def unpacked(path: str, data: bytes) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read()
+    if name.endswith(".lz4"):
+        with pa.CompressedInputStream(pa.BufferReader(data), "lz4") as f:
+            return f.read()
     return data
 
 
@@ -186,46 +244,116 @@ def fingerprint(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("digest"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+CURRENT = "current.json"
+
+
+def _put(spark: SparkSession, path: str, meta: dict) -> None:
+    """Written under another name and moved in one step, on any file system that Hadoop knows."""
+    tmp = f"{path}/.tmp.{uuid.uuid4().hex}"
+    p, fs = _hadoop(spark, tmp)
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(meta).encode()))
+    out.close()
+    fs_class, options = spark._jvm.org.apache.hadoop.fs, getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    context = fs_class.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(p), fs.makeQualified(fs_class.Path(f"{path}/{CURRENT}")), how)
+
+
+def _current(spark: SparkSession, path: str) -> dict:
+    p, fs = _hadoop(spark, f"{path}/{CURRENT}")
+    if not fs.exists(p):
+        raise SnapshotError(f"no snapshot in {path}")
+    try:
+        # read by the JVM's own text reader: the file may be anywhere
+        return json.loads(spark.read.text(str(p.toString()), wholetext=True).first()[0])
+    except (ValueError, TypeError) as e:
+        raise SnapshotError(f"no snapshot in {path}") from e
+
+
 def save(corpus: DataFrame, path: str, manifest: dict | None = None) -> None:
     """A new generation beside the old one; a small file names the current one and is replaced in one step."""
-    os.makedirs(path, exist_ok=True)
-    name = f"generation-{uuid.uuid4().hex}"
-    corpus.write.parquet(os.path.join(path, name))
-    written = corpus.sparkSession.read.parquet(os.path.join(path, name))
-    f = fingerprint(written).first()
-    meta = {"format": FORMAT, "generation": name, "files": f.files, "bytes": f.bytes, "digest": f.digest, "manifest": manifest or {}}
-    tmp = os.path.join(path, f".tmp.{uuid.uuid4().hex}")
-    with open(tmp, "w") as out:
-        json.dump(meta, out)
-    os.replace(tmp, os.path.join(path, "current.json"))
+    spark, name = corpus.sparkSession, f"generation-{uuid.uuid4().hex}"
+    corpus.write.parquet(f"{path}/{name}")
+    f = fingerprint(spark.read.parquet(f"{path}/{name}")).first()
+    _put(spark, path, {"format": FORMAT, "generation": name, "files": f.files, "bytes": f.bytes, "digest": f.digest, "manifest": manifest or {}})
 
 
 def load(spark: SparkSession, path: str, manifest: dict | None = None, verify: bool = True) -> DataFrame:
-    """The current generation; what ``manifest`` asks for must agree, what it leaves out may be anything."""
-    try:
-        with open(os.path.join(path, "current.json")) as f:
-            meta = json.load(f)
-        found = spark.read.parquet(os.path.join(path, meta["generation"]))
-    except (OSError, ValueError, KeyError) as e:
-        raise SnapshotError(f"no snapshot in {path}") from e
-    if meta["format"] != FORMAT:
+    """The current generation with its segments; what ``manifest`` asks for must agree, what it leaves out may be anything."""
+    meta = _current(spark, path)
+    if meta.get("format") != FORMAT:
         raise SnapshotError("another format")
+    if "generation" not in meta:
+        raise SnapshotError(f"no snapshot in {path}")
     for k, v in (manifest or {}).items():
         if v is not None and meta["manifest"].get(k) != v:
             raise SnapshotError(f"snapshot has another {k}")
-    if verify:
-        f = fingerprint(found).first()
-        if (f.files, f.bytes, f.digest) != (meta["files"], meta["bytes"], meta["digest"]):
-            raise SnapshotError("snapshot is damaged")
-    return found
-
-
-def clean_orphans(path: str) -> int:
-    """Removes what broken-off saves left; returns how many."""
-    names = [n for n in os.listdir(path) if n.startswith(".tmp.")]
-    for n in names:
-        os.remove(os.path.join(path, n))
-    return len(names)
+    try:
+        found = spark.read.parquet(f"{path}/{meta['generation']}")
+        if verify:
+            f = fingerprint(found).first()
+            if (f.files, f.bytes, f.digest) != (meta["files"], meta["bytes"], meta["digest"]):
+                raise SnapshotError("snapshot is damaged")
+        return _with_segments(spark, found, path, meta.get("segments", []))
+    except (AnalysisException, PySparkException) as e:
+        raise SnapshotError("snapshot is damaged") from e
+
+
+def _with_segments(spark: SparkSession, base: DataFrame, path: str, segments: list[str]) -> DataFrame:
+    """The last word on each path: of the segments the newest, else the generation."""
+    if not segments:
+        return base
+    parts = [spark.read.parquet(f"{path}/{s}").withColumn("_seq", F.lit(i)) for i, s in enumerate(segments)]
+    changes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    cols = [c for c in base.columns if c in changes.columns]
+    row = F.struct("_seq", "_deleted", *cols)
+    last = changes.groupBy("path").agg(F.max_by(row, "_seq").alias("r"))
+    new = last.filter("NOT r._deleted").select(*(F.col(f"r.{c}").alias(c) for c in cols))
+    return base.select(*cols).join(changes.select("path").distinct(), "path", "left_anti").select(*cols).unionByName(new)
+
+
+def add_segment(spark: SparkSession, path: str, changed: DataFrame, gone: DataFrame, name: str | None = None) -> None:
+    """Changes beside the current generation, which isn't rewritten: ``changed`` files and ``gone`` paths.
+
+    A segment of the same name replaces itself, so a batch that is run again changes nothing.  When ``compaction_due``
+    says so the generation and its segments become a new generation.
+    """
+    meta = _current(spark, path)
+    name = name or f"segment-{uuid.uuid4().hex}"
+    rows = changed.withColumn("_deleted", F.lit(False)).unionByName(gone.select("path", F.lit(True).alias("_deleted")), allowMissingColumns=True)
+    rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    written = spark.read.parquet(f"{path}/{name}").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first().b
+    segments = [*(s for s in meta.get("segments", []) if s != name), name]
+    appended = meta.get("appended", 0) + written
+    if compaction_due(len(segments), appended, meta["bytes"]):
+        _put(spark, path, meta | {"segments": segments, "appended": appended})
+        save(load(spark, path, verify=False), path, meta["manifest"])
+    else:
+        _put(spark, path, meta | {"segments": segments, "appended": appended})
+
+
+def clean_orphans(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Removes what broken-off saves left, and generations and segments that are no longer current but for the newest
+    ``keep`` (readers may be on them still); returns how many."""
+    meta = _current(spark, path)
+    p, fs = _hadoop(spark, path)
+    live = {meta["generation"], *meta.get("segments", [])}
+    found = [(s.getModificationTime(), s.getPath()) for s in fs.listStatus(p)]
+    tmp = [q for _, q in found if q.getName().startswith(".tmp.")]
+    old = sorted(((t, q) for t, q in found if q.getName().startswith("generation-") and q.getName() not in live), key=lambda x: x[0], reverse=True)
+    dead = [q for _, q in old[keep:]]
+    if not old[:keep]:
+        dead += [q for _, q in found if q.getName().startswith("segment-") and q.getName() not in live]
+    for q in tmp + dead:
+        fs.delete(q, True)
+    return len(tmp) + len(dead)
 
 
 def stale(old: DataFrame, new: DataFrame) -> DataFrame:

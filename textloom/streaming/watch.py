@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +36,17 @@ def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def maintain(spark: SparkSession, changes: DataFrame, snapshot: str, checkpoint: str, on_generation: Callable[[DataFrame], None] | None = None):
-    """A streaming query that turns each micro-batch of ``changes`` into a new generation.
+    """A streaming query that adds each micro-batch of ``changes`` to the snapshot as a segment of its own.
 
-    A batch that is run again gives the same generation, since changes replace whole files.
+    A batch costs what it changes: the generation is rewritten only when compaction is due.  A batch that is run
+    again replaces its segment, or repeats changes of whole files, and so gives the same snapshot.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def batch(df: DataFrame, _: int) -> None:
-        base = store.load(spark, snapshot)
-        store.save(apply_changes(base, df), snapshot)
+    def batch(df: DataFrame, number: int) -> None:
+        last = latest(df)
+        new = store.with_text(last.filter("NOT deleted").select(F.xxhash64("path").alias("file_id"), "path", "content"))
+        store.add_segment(spark, snapshot, new, last.filter("deleted").select("path"), f"segment-{stream}-{number}")
         if on_generation:
             on_generation(store.load(spark, snapshot, verify=False))
 
