@@ -150,7 +150,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every reported span replaced by ``[KIND]``; all columns.
     Overlapping spans become one, named after the first."""
     text = F.col("text")
-    spans = F.array_sort(F.concat(*(F.transform(_spans(k, text), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))) for k in KINDS)))
+    spans = F.sort_array(F.concat(*(F.transform(_spans(k, text), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))) for k in KINDS)))
 
     def rewritten(s: Column) -> Column:
         def joined(blocks: Column) -> Column:

@@ -311,7 +311,7 @@ def repeated_starts(docs: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
     twice = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     cols = hot_join(wide, twice, keys, "k", wide.count()).groupBy("cls").agg(F.collect_list("col").alias("cols"))
     every = F.transform(F.sequence(F.lit(SIDE) - F.col("hi"), F.lit(SIDE) - F.col("lo")), lambda c: c.cast("int"))
-    again = classes.join(cols, "cls", "left").withColumn("cols", F.when(F.col("m") > 1, every).otherwise(F.col("cols"))).filter("cols IS NOT NULL").select(*like, "m", F.array_sort("cols").alias("cols"))
+    again = classes.join(cols, "cls", "left").withColumn("cols", F.when(F.col("m") > 1, every).otherwise(F.col("cols"))).filter("cols IS NOT NULL").select(*like, "m", F.sort_array("cols").alias("cols"))
     # runs of neighbouring columns: [first, last]
     first = F.filter(F.col("cols"), lambda c: ~F.array_contains("cols", c - 1))
     last = F.filter(F.col("cols"), lambda c: ~F.array_contains("cols", c + 1))
