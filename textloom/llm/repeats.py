@@ -298,6 +298,7 @@ def repeated_starts(docs: DataFrame, hot: int = HOT_GROUP) -> DataFrame:
     spread = (again.agg(F.max("n")).first()[0] or 0) > hot
     if spread:
         found = stored(found, "contexts")
+        forget(samples, again)
     cold = found.filter(F.col("n") <= hot)
     solved = cold.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_solve, _STARTS)
     if not spread:
