@@ -92,3 +92,37 @@ def test_long_literals_across_blocks(spark):
         corpus = spark.createDataFrame([(1, "." * 255 + literal + "." * 500)], "file_id long, text string")
         some = ix.candidates(ix.block_postings(corpus, o), literal, o)
         assert some is None if n > 65 else [r.file_id for r in some.collect()] == [1]
+
+
+#: Letters whose capital is one character in SQL and two or three in Spark, or none at all; some beyond the first plane.
+CASED = ["Erteß und so weiter", "ŉ ǰ ΐ ﬁ ﬄ ᾳ ᾼ", "ᾀ ᾗ ῳ ᾲ ῷ", "𐵰𐐨 😀 ßé", "ƛɤ ijŋ", "", "a"]
+
+
+@pytest.fixture
+def cased(spark, tmp_path):
+    """Texts at the documents that change, and others between them."""
+    docs = [(i, CASED[i // 11 % len(CASED)] if i % 11 == 1 else f"kept ß {i}", "de", f"src{i % 3}", 9) for i in range(11 * len(CASED))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_upper_keeps_characters(spark):
+    """Every character of the planes that have letters, among others, as SQL has it."""
+    from pyspark.sql import functions as F
+
+    from textloom.functions.cases import upper_each
+
+    duckdb = pytest.importorskip("duckdb")
+    df = spark.range(1, 0x20000).filter("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex("id"), 8, "0"))), "UTF-32").alias("t"))
+    got = {r.id: r.u for r in df.select("id", upper_each(F.concat(F.lit("ß"), "t", F.lit("😀a"))).alias("u")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE c AS SELECT i, 'ß' || chr(CAST(i AS INTEGER)) || '😀a' AS t FROM range(1, 131072) r(i) WHERE i NOT BETWEEN 55296 AND 57343")
+    want = dict(con.execute("SELECT i, upper(t) FROM c").fetchall())
+    assert len(got) == len(want) == 0x20000 - 2049
+    assert [(i, got[i], want[i]) for i in want if got[i] != want[i]] == []
+    assert spark.createDataFrame([(None,), ("",)], "t string").select(upper_each(F.col("t"))).collect() == [(None,), ("",)]
+
+
+def test_tombstones_with_capitals_of_one_character(spark, cased):
+    same_rows(queries.append_tombstone(spark, cased), oracle(cased, "append_tombstone"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.cases import upper_each
 from textloom.functions.globs import IgnoreRule
 from textloom.operators import analytics, output, regions, search, select
 from textloom.operators import index as ix
@@ -577,7 +578,7 @@ def byte_histogram(spark, d):
 SELECT path, CAST(strlen(CASE WHEN doc_id % 11 = 1 THEN upper(substr(text, 1, 10)) ELSE text END) AS BIGINT) AS size FROM d WHERE doc_id % 7 <> 0 OR doc_id % 11 = 1""")
 def append_tombstone(spark, d):
     base = documents(spark, d)
-    changed = base.filter("file_id % 11 = 1").withColumn("text", F.upper(F.substring("text", 1, 10))).withColumn("size", F.octet_length("text").cast("bigint"))
+    changed = base.filter("file_id % 11 = 1").withColumn("text", upper_each(F.substring("text", 1, 10))).withColumn("size", F.octet_length("text").cast("bigint"))
     return store.append(base, changed, base.filter("file_id % 7 = 0")).select("path", "size")
 
 
