@@ -126,3 +126,7 @@ def test_upper_keeps_characters(spark):
 
 def test_tombstones_with_capitals_of_one_character(spark, cased):
     same_rows(queries.append_tombstone(spark, cased), oracle(cased, "append_tombstone"))
+
+
+def test_segments_with_capitals_of_one_character(spark, cased):
+    same_rows(queries.snapshot_segments(spark, cased), oracle(cased, "snapshot_segments"))
