@@ -271,3 +271,31 @@ def test_other_sources(spark, tmp_path):
     assert [p for p, _, _ in store.list_files(str(tmp_path), one_device=True)] == ["a.txt.lz4", "b.txt", "sub/c.md"]
     timed = store.with_times(store.scan(spark, str(tmp_path)).select("path", "size"), str(tmp_path))
     assert all(r.atime_ns > 0 and r.ctime_ns > 0 for r in timed.collect())
+
+
+def test_sampled_profile_reads_little(spark, tmp_path):
+    """No task gets more than a bounded number of samples, however many files; the sample is that of one ordered pass."""
+    import math
+    import random
+    from collections import Counter
+
+    texts = {i - 300: random.Random(i).choice(["", "é" * (i % 50), f"{i} abc " * (i % 400), "x" * i]) for i in range(900)}
+    rows = list(texts.items())
+    random.Random(1).shuffle(rows)
+    for each, total, parts, most in ((700, 5000, 7, 50_000), (700, 5000, 7, 20), (8, 10**6, 3, 50_000), (1, 100, 40, 50_000), (64, 1, 2, 50_000)):
+        c = spark.createDataFrame(rows, "file_id long, text string").repartition(parts)
+        data = b"".join(t.encode()[:each] for _, t in sorted(rows))[:total]
+        n, grams, left = Counter(data), set(), total
+        for _, t in sorted(rows):
+            b = t.encode()[: min(each, left)]
+            left -= len(b)
+            grams |= {b[i : i + 4] for i in range(len(b) - 3)}
+        bits = -sum(k / len(data) * math.log2(k / len(data)) for k in n.values())
+        got = analytics.sampled_profile(c, each, total, most).first()
+        assert (got.sampled_bytes, round(got.bits, 9) + 0.0, got.unique_grams) == (len(data), round(bits, 9) + 0.0, min(len(grams), most))
+    assert tuple(analytics.sampled_profile(c.limit(0)).first()) == (0, 0.0, 0)
+    assert tuple(analytics.sampled_profile(c.filter("text = ''")).first()) == (0, 0.0, 0)
+    # what goes on from each part is a sample, not the head of every file
+    many = spark.range(20_000).select(F.col("id").alias("file_id"), F.repeat(F.lit("abcdefgh"), 1000).alias("text")).repartition(4)
+    first = many.select("file_id", F.col("text").cast("binary").alias("b")).mapInArrow(analytics._first_bytes(analytics.SAMPLED_BYTES), analytics._HEADS)
+    assert first.count() <= 4 * (analytics.SAMPLED_BYTES // 8000 + 1)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.index import Q, byte_histogram, qgram_stats
+from textloom.operators.index import Q, byte_histogram, grams_of, qgram_stats
 
 
 def entropy(histogram: DataFrame, n: str = "n") -> DataFrame:
@@ -47,18 +47,65 @@ def sampled_profile(corpus: DataFrame, each: int = SAMPLE_BYTES, total: int = SA
 
     The limits are the feature: a quick look whose cost doesn't grow.  ``byte_entropy`` and ``qgram_stats`` take all.
     """
-    # any total / each files of full size fill the sample; shorter ones are few bytes, so rows are read until it is full
+    # a file of the sample is in the sample of any part of the corpus that holds it: parts are cut where they are read, then together
+    first = _first_bytes(total)
     head = corpus.select("file_id", F.substring(F.col("text").cast("binary"), 1, each).alias("b")).filter(F.octet_length("b") > 0)
-    w = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
-    few = head.orderBy("file_id").limit(total)  # at least a byte each
-    cut = few.withColumn("_at", F.coalesce(F.sum(F.octet_length("b")).over(w), F.lit(0))).filter(F.col("_at") < total)
-    sample = cut.select("file_id", F.substring("b", F.lit(1), (F.lit(total) - F.col("_at")).cast("int")).alias("b"))
-    one = F.explode(F.transform(F.sequence(F.lit(1), F.octet_length("b")), lambda i: F.substring("b", i, F.lit(1))))
-    bits = entropy(sample.select(one.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")))
-    grams = F.when(F.octet_length("b") >= Q, F.transform(F.sequence(F.lit(1), F.octet_length("b") - (Q - 1)), lambda i: F.substring("b", i, F.lit(Q)))).otherwise(F.array().cast("array<binary>"))
-    unique = sample.select(F.explode(grams).alias("g")).distinct().agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("unique_grams"))
-    size = sample.agg(F.coalesce(F.sum(F.octet_length("b")).cast("bigint"), F.lit(0).cast("bigint")).alias("sampled_bytes"))
-    return size.crossJoin(bits).crossJoin(unique)  # tables of one row each
+    few = head.mapInArrow(first, _HEADS).repartition(SAMPLE_MERGERS).mapInArrow(first, _HEADS)
+    row = few.repartition(1).mapInArrow(_profiled(total), "sampled_bytes long, bits double, unique_grams long")
+    of = lambda name, zero: F.coalesce(F.max(name), F.lit(zero)).alias(name)
+    return row.select("sampled_bytes", "bits", F.least("unique_grams", F.lit(most)).alias("unique_grams")).agg(of("sampled_bytes", 0), of("bits", 0.0), of("unique_grams", 0))
+
+
+_HEADS = "file_id long, b binary"
+#: Tasks among which the samples of all parts are cut once more, so that the last one reads as many at most.
+SAMPLE_MERGERS = 32
+
+
+def _first_bytes(total: int):
+    """The first rows by file_id that fill ``total`` bytes, of each task: never more than that and one file are held."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        held, full = None, None  # a table in order; the last file_id once it is full
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            if full is not None:
+                new = new.filter(pc.or_kleene(pc.less(new["file_id"], full), pc.is_null(new["file_id"])))
+            if not len(new):
+                continue
+            held = new if held is None else pa.concat_tables([held, new])
+            held = held.take(pc.sort_indices(held, [("file_id", "ascending")], null_placement="at_start"))
+            before = np.cumsum(pc.binary_length(held["b"]).to_numpy().astype(np.int64))
+            n = int(np.searchsorted(before, total)) + 1  # rows with less than total before them
+            if n <= len(held):
+                held = held.slice(0, n)
+                full = held["file_id"][n - 1]
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
+def _profiled(total: int):
+    """sampled_bytes, bits, unique_grams of the first ``total`` bytes of one task's rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        texts, left = [], total
+        for b in _first_bytes(total)(batches):
+            for x in b.column("b").to_pylist():
+                texts.append(x[:left])
+                left -= len(texts[-1])
+        n = sum((np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in texts), np.zeros(256, np.int64))
+        n, size = n[n > 0].astype(float), total - left
+        bits = float(np.log2(size) - (n * np.log2(n)).sum() / size) if size else 0.0
+        grams = len(np.unique(np.concatenate([grams_of(x) for x in texts]))) if texts else 0
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([bits]), pa.array([grams], pa.int64())], ["sampled_bytes", "bits", "unique_grams"])
+
+    return run
 
 
 def duplicate_files(corpus: DataFrame) -> DataFrame:
