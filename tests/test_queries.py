@@ -130,3 +130,44 @@ def test_tombstones_with_capitals_of_one_character(spark, cased):
 
 def test_segments_with_capitals_of_one_character(spark, cased):
     same_rows(queries.snapshot_segments(spark, cased), oracle(cased, "snapshot_segments"))
+
+
+@pytest.mark.parametrize("o", [{"chunk_bytes": 64, "overlap": 4, "block_bytes": 16}, {"chunk_bytes": 64, "overlap": 63, "block_bytes": 64}, {"chunk_bytes": 100, "overlap": 30, "block_bytes": 33}, {}])
+def test_postings_of_few_strings(spark, o):
+    """Only the strings that are asked for, and of these the same rows as of all: at every place in chunks and blocks."""
+    from textloom.operators import index as ix
+
+    o = ix.IndexOptions(**o)
+    texts = ["." * i + "license" + "." * (i * 7 % 90) + "lice" for i in range(150)] + ["e" * 300, "", "lic", "licenselicense", "né" * 60 + "ééé"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    only = [*ix.query_grams("license"), b"eeee", "éé".encode(), b"zzzz"]
+    for table in (ix.postings, ix.block_postings):
+        want = [tuple(r) for r in table(corpus, o).collect() if bytes(r.gram) in only]
+        same_rows(table(corpus, o, only), want)
+        assert len(want) > 600
+
+
+def test_search_stats_list_few_strings(spark, tables, monkeypatch):
+    """The query's figures, and every other string left out before it is a row; patterns of several and of no literals."""
+    from textloom.operators import index as ix
+    from textloom.plans.pattern import compile_pattern
+
+    whole = ix.search_stats
+    docs = queries.documents(spark, tables)
+    for source in ("(foo b|three)", "one two|licens", "[0-9]+", "absent words"):
+        p = compile_pattern(source)
+        got = whole(docs, ix.postings(docs, queries._IX), ix.block_postings(docs, queries._IX), p, queries._IX).first()
+        hits = sorted({r.file_id for r in ix.indexed_find(docs, ix.postings(docs, queries._IX), p, queries._IX).collect()})
+        assert got.candidate_files >= len(hits) and got.matches == ix.indexed_find(docs, ix.postings(docs, queries._IX), p, queries._IX).count()
+        sizes = {i: len((t or "").encode()) for i, t in enumerate(TEXTS)}
+        if source == "[0-9]+":
+            assert (got.candidate_files, got.verified_bytes, got.probe_rows) == (len(TEXTS), sum(sizes.values()), 0)
+        else:
+            assert (got.candidate_files, got.verified_bytes) == (len(hits), sum(sizes[i] for i in hits))
+            grams = {g for x in source.strip("()").split("|") for g in ix.query_grams(x)}
+            assert got.probe_rows == sum(bytes(r.gram) in grams for r in ix.postings(docs, queries._IX).collect())
+    seen = []
+    monkeypatch.setattr(ix, "search_stats", lambda c, found, blocks, *a: seen.extend((found, blocks)) or whole(c, found, blocks, *a))
+    same_rows(queries.search_stats(spark, tables), oracle(tables, "search_stats"))
+    for table in seen:
+        assert {bytes(r.gram) for r in table.collect()} == {*ix.query_grams("license")} - {b"ense"}

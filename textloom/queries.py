@@ -542,7 +542,8 @@ SELECT count(*) AS candidate_chunks, count(DISTINCT file_id) AS candidate_files,
 def search_stats(spark, d):
     """What an indexed search looked at."""
     docs = documents(spark, d)
-    return ix.search_stats(docs, ix.postings(docs, _IX), ix.block_postings(docs, _IX), compile_pattern("license", PatternOptions(fixed=True)), _IX)
+    grams = ix.query_grams("license")
+    return ix.search_stats(docs, ix.postings(docs, _IX, grams), ix.block_postings(docs, _IX, grams), compile_pattern("license", PatternOptions(fixed=True)), _IX)
 
 
 # -- regions ------------------------------------------------------------------------------
