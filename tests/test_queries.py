@@ -171,3 +171,17 @@ def test_search_stats_list_few_strings(spark, tables, monkeypatch):
     same_rows(queries.search_stats(spark, tables), oracle(tables, "search_stats"))
     for table in seen:
         assert {bytes(r.gram) for r in table.collect()} == {*ix.query_grams("license")} - {b"ense"}
+
+
+def test_bucket_stats_shuffle_counts(spark, tables):
+    """Chunks of a bucket, counted where they are: what is shuffled is at most a row a bucket and task, not every posting."""
+    from textloom.operators import index as ix
+
+    same_rows(queries.bucket_stats(spark, tables), oracle(tables, "bucket_stats"))
+    for o in (ix.IndexOptions(chunk_bytes=64, overlap=4, block_bytes=16), ix.IndexOptions(chunk_bytes=64, overlap=63, block_bytes=64), ix.IndexOptions()):
+        docs = queries.documents(spark, tables)
+        rows = {((int.from_bytes(r.gram) * 40503 >> 16) % ix.BUCKETS, r.file_id, r.chunk_no) for r in ix.postings(docs, o).collect()}
+        df = ix.bucket_stats(docs, o)
+        same_rows(df, Counter(b for b, _, _ in rows).items())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "file_id" not in plan.split("MapInArrow")[0] and "chunk_no" not in plan.split("MapInArrow")[0]

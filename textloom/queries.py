@@ -522,7 +522,7 @@ def rarity_plan(spark, d):
 
 @query(f"WITH {_DOC_CHUNKS}, b AS (SELECT DISTINCT ((CAST('0x' || gram AS BIGINT) * 40503) >> 16) % 65536 AS bucket, rid, c FROM f) SELECT bucket, count(*) AS chunks FROM b GROUP BY 1")
 def bucket_stats(spark, d):
-    return ix.bucket_stats(ix.postings(documents(spark, d), _IX))
+    return ix.bucket_stats(documents(spark, d), _IX)
 
 
 @query(f"""WITH {_DOC_CHUNKS}, c AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS b FROM documents)
