@@ -185,3 +185,20 @@ def test_bucket_stats_shuffle_counts(spark, tables):
         same_rows(df, Counter(b for b, _, _ in rows).items())
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "file_id" not in plan.split("MapInArrow")[0] and "chunk_no" not in plan.split("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("name", ["block_candidates", "qgram_candidates"])
+def test_candidates_list_few_strings(spark, tmp_path, monkeypatch, name):
+    """Literals at all places of blocks and chunks; no other string is listed on the way to them."""
+    from textloom.operators import index as ix
+
+    texts = ["." * i + "license" + "." * (i % 9) + "licence password=" for i in [*range(180, 330, 3), *range(4000, 4300, 7), 8180, 8192]] + ["é" * 2047 + "license", "lice icen cens ense", "", None, "licens"]
+    docs = [(i, t, "en", "src0", 9) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, candidates = [], ix.candidates
+    monkeypatch.setattr(ix, "candidates", lambda found, *a, **k: seen.append(found) or candidates(found, *a, **k))
+    want = oracle(str(tmp_path), name)
+    assert len(want) > len(texts)
+    same_rows(queries.QUERIES[name](spark, str(tmp_path)), want)
+    assert all({bytes(r.gram) for r in x.collect()} <= {*ix.query_grams("license")} for x in seen) and seen

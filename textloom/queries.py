@@ -479,13 +479,13 @@ def _holds(literal: str) -> str:
 @query(f"WITH {_HEX_CHUNKS} SELECT file_id, chunk_no FROM chunk WHERE {_holds('license')}")
 def qgram_candidates(spark, d):
     """Chunks that hold all four-byte strings of a literal."""
-    return ix.candidates(ix.postings(documents(spark, d), _IX), "license", _IX).select("file_id", "chunk_no")
+    return ix.candidates(ix.postings(documents(spark, d), _IX, ix.query_grams("license")), "license", _IX).select("file_id", "chunk_no")
 
 
 @query(f"WITH {_HEX_BLOCKS} SELECT file_id, chunk_no, block_no FROM block WHERE {_holds('license')}")
 def block_candidates(spark, d):
     """Blocks that do."""
-    return ix.candidates(ix.block_postings(documents(spark, d), _IX), "license", _IX).select("file_id", "chunk_no", "block_no")
+    return ix.candidates(ix.block_postings(documents(spark, d), _IX, ix.query_grams("license")), "license", _IX).select("file_id", "chunk_no", "block_no")
 
 
 @query(f"WITH {_lines()}, {_line_spans('(icens|assword)[a-z=]')} SELECT file_id, start_ AS start, end_ AS \"end\" FROM spans")
